@@ -1,4 +1,4 @@
 """All queries and their SQL twins, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import core, summaries  # noqa: F401  (they register themselves)
+from .registry import ORACLES, QUERIES  # noqa: F401
