@@ -17,6 +17,7 @@ its input however dense the links are.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +28,14 @@ from pyspark.sql import types as T
 
 from .common import components, cut, map_rows, ship
 
-#: Vectors of a tile, and at most so many pivots (they are all that reaches the driver).
-TILE, PIVOTS = 2048, 256
+#: Vectors of a tile, and at most so many pivots (they are all that reaches the driver).  There are
+#: no more pivots than tiles, so cells hold whole tiles and a vector is sent once for each tile it meets.
+TILE, PIVOTS = 4096, 256
 
 
 def unit(values: list) -> np.ndarray | None:
     """The vector in double precision at length 1; None if it can link with nothing."""
-    if values is None or not len(values) or any(v is None for v in values):
+    if values is None or not len(values) or (isinstance(values, list) and None in values):
         return None
     x = np.array(values, np.float64)
     top = np.abs(x).max()
@@ -43,6 +45,18 @@ def unit(values: list) -> np.ndarray | None:
     return x / np.linalg.norm(x)
 
 
+def pack_vector(values: list) -> bytes:
+    """The components as they were given: float32 where that loses nothing."""
+    x = np.array(values, np.float64)
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return b"4" + short.tobytes() if (short == x).all() else b"8" + x.tobytes()
+
+
+def unpack_unit(data: bytes) -> np.ndarray:
+    return unit(np.frombuffer(data, np.float32 if data[:1] == b"4" else np.float64, offset=1))
+
+
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes of the rows, scale, |s q| and an upper bound of the residual's length."""
     s = np.abs(x).max(axis=1) / 127
@@ -55,7 +69,7 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 class _Tile:
     def __init__(self, ids: list[int], weights: list[int], data: list[bytes]):
         self.ids, self.w = np.array(ids, np.int64), np.array(weights, np.int64)
-        self.x = np.stack([np.frombuffer(d, np.float64) for d in data])
+        self.x = np.stack([unpack_unit(d) for d in data])
         self.q, self.s, self.n, self.r = quantise(self.x)
 
 
@@ -104,14 +118,14 @@ def link_tiles(a: _Tile, b: _Tile | None, least: float) -> tuple[np.ndarray, np.
     return wa, wb, forest
 
 
-def _pivots(vectors: DataFrame, n: int) -> np.ndarray:
+def _pivots(vectors: DataFrame, n: int, total: int) -> np.ndarray:
     """Up to ``n`` pivots: from a hash sample of at most 16 n vectors, each as far as possible from those before it."""
-    total = vectors.count()
     u = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     got = vectors.where(u < 16 * n / max(1, total)).select("id", "x").orderBy("id").limit(32 * n).collect() or vectors.select("id", "x").limit(1).collect()
     if not got:
         return np.zeros((0, 1))
-    x = np.stack([np.frombuffer(r.x, np.float64) for r in got])
+    got = [r for r in got if len(r.x) == len(got[0].x)]
+    x = np.stack([unpack_unit(r.x) for r in got])
     chosen, near = [0], x @ x[0]
     while len(chosen) < min(n, len(x)):
         i = int(near.argmin())
@@ -135,26 +149,27 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, id_col: str = "vec_id",
 
     def make():
         def f(v):
-            return [pa.array([None if (x := unit(y)) is None else x.tobytes() for y in v.to_pylist()], pa.binary())]
+            units = [(y, unit(y)) for y in v.to_pylist()]
+            raw = [None if x is None else pack_vector(y) for y, x in units]
+            return [pa.array(raw, pa.binary()), pa.array([None if x is None else hashlib.sha256(x.tobytes()).digest() for _, x in units], pa.binary())]
 
         return f
 
     picked = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    drawn = cut(map_rows(picked, ["v"], [("x", T.BinaryType())], make, keep=["vec_id"]), "vectors")
-    valid = drawn.where("x is not null and vec_id is not null")
-    # the digest names a vector; its rows are one vector with a weight
-    named = valid.select("vec_id", F.sha2("x", 256).alias("fp"), "x")
+    drawn = cut(map_rows(picked, ["v"], [("x", T.BinaryType()), ("fp", T.BinaryType())], make, keep=["vec_id"]), "vectors")
+    named = drawn.where("fp is not null and vec_id is not null")
+    # the digest names a direction; its rows are one vector with a weight
     distinct = cut(named.groupBy("fp").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w"), F.min_by("x", "vec_id").alias("x")), "distinct")
     copies = named.select("vec_id", "fp").join(distinct.select("fp", "id", "w"), "fp")
 
-    centre = _pivots(distinct.withColumn("length", F.length("x")).select("id", "x"), pivots) if distinct.limit(1).count() else np.zeros((0, 1))
-    dims = sorted(r[0] // 8 for r in distinct.select(F.length("x")).distinct().collect())
-    if len(dims) > 1:  # a tile holds vectors of one length; pivots separate nothing then
-        centre = np.zeros((0, 1))
+    total = distinct.count()
+    several = distinct.select(F.expr("substring(x, 1, 1) = binary('8')").alias("wide"), F.length("x").alias("n")).select(F.when(F.col("wide"), F.col("n") - 1).otherwise((F.col("n") - 1) * 2).alias("n")).distinct().limit(2).count() > 1
+    # a tile holds vectors of one length; where lengths differ, cells are lengths instead
+    centre = np.zeros((0, 1)) if several or not total else _pivots(distinct.select("id", "x"), min(pivots, -(-total // tile)), total)
 
     def assign():
         def f(x):
-            vs = [np.frombuffer(b, np.float64) for b in x.cast(pa.binary()).to_pylist()]
+            vs = [unpack_unit(b) for b in x.cast(pa.binary()).to_pylist()]
             if not len(centre):
                 return [pa.array([len(v) for v in vs], pa.int32()), pa.array([0.0] * len(vs), pa.float64())]
             c = np.stack(vs) @ centre.T
@@ -216,7 +231,6 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     same_id = copies.select(F.col("vec_id").alias("u"), F.col("id").alias("v")).where("u <> v")
     joined = components(found.where("v is not null").select("u", "v").unionAll(same_id)).select(F.col("id").alias("vec_id"), "component")
     per_row = copies.join(degree, "id", "left").select("vec_id", "fp", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")).dropDuplicates(["vec_id", "fp"])
-    keyed = drawn.select("vec_id", F.sha2("x", 256).alias("fp"))
-    out = keyed.join(per_row, ["vec_id", "fp"], "left").join(joined, "vec_id", "left")
+    out = drawn.select("vec_id", "fp").join(per_row, ["vec_id", "fp"], "left").join(joined, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
