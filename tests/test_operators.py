@@ -64,9 +64,9 @@ def test_majority_ties(spark):
 
 def test_segment_metrics_by_hand(spark):
     x = spark.createDataFrame([(0, "g", 1.0), (1, "g", 3.0), (2, "g", 5.0)], "obs_id long, gene string, value double")
-    seg = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (1, 2, 1), (1, 3, 1)], "s int, obs_id long, seg long")
-    b = spark.createDataFrame([(1, 0, 1, 2.0)], "s int, i long, j long, weight double")
-    m = compare.segment_metrics(x, seg, b, ["s"]).first()
+    seg = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (1, 2, 1), (1, 3, 1)], "side int, obs_id long, seg long")
+    b = spark.createDataFrame([(1, 0, 1, 2.0)], "side int, i long, j long, weight double")
+    m = compare.segment_metrics(x, seg, b, ["side"]).first()
     # means 2 and 2.5, grand 2.25
     assert m.within_var == pytest.approx((1 + 1 + 6.25 + 6.25) / 4)
     assert m.between_var == pytest.approx(0.0625)
