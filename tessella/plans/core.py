@@ -479,7 +479,7 @@ def e35_lattice_pitch(spark, sf):
     return spatial.lattice_pitch(cut(_points(spark, sf), "points"), 3.0).select(F.round("pitch", 6).alias("pitch"))
 
 
-@query(_PTS + ", s AS (SELECT x, y, COUNT(*) AS n FROM pt GROUP BY 1, 2) SELECT COUNT(*) AS positions, max(n) AS largest, round(SUM(n) FILTER (WHERE n > 1) / SUM(n), 6) AS stacked FROM s")
+@query(_PTS + ", s AS (SELECT x, y, COUNT(*) AS n FROM pt GROUP BY 1, 2) SELECT COUNT(*) AS positions, max(n) AS largest, round(coalesce(SUM(n) FILTER (WHERE n > 1), 0) / SUM(n), 6) AS stacked FROM s")
 def e29_collisions(spark, sf):
     return spatial.collisions(_points(spark, sf)).select("positions", "largest", F.round("stacked", 6).alias("stacked"))
 
