@@ -21,13 +21,14 @@ _PARTS = re.compile(f"[{_SPACE}]+(?=[{_SPACE}][^{_SPACE}])|[{_SPACE}]?[^{_SPACE}
 #: White space to which the rule above is not applied.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
-#: Letters for which splitting below is certain to equal the tokenizers' own;
-#: parts with any other character beyond ASCII go through their pre-tokenisers.
+#: Letters and signs for which splitting by the patterns below is certain to equal the
+#: tokenizers' own; parts with any other character beyond ASCII go through their pre-tokenisers.
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
-_PLAIN = re.compile(f"[\\x00-\\x1b\\x20-\\x7e{_LATIN}]*")
-_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-_KEEPING = re.compile(f"{_CONTRACTIONS}| ?[{_LATIN}]+| ?[0-9]+| ?[^{_SPACE}{_LATIN}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
-_DROPPING = re.compile(f"{_CONTRACTIONS}|[{_LATIN}]+|[0-9]|[^{_SPACE}{_LATIN}0-9]+")
+_SIGNS = "\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027\u2030-\u205e\u20ac"
+_PLAIN = re.compile(f"[\\x00-\\x1b\\x20-\\x7e{_LATIN}{_SIGNS}]*")
+_CONTRACTIONS = "'(?:s|t|re|ve|m|ll|d)"
+_KEEPING = re.compile(f" ?[{_LATIN}]+|{_CONTRACTIONS}| ?[0-9]+| ?[^{_SPACE}{_LATIN}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
+_DROPPING = re.compile(f"[{_LATIN}]+|{_CONTRACTIONS}|[0-9]|[^{_SPACE}{_LATIN}0-9]+")
 
 _LOADED: dict[str, Encoder] = {}
 
@@ -63,59 +64,53 @@ class _Learned(dict):
 class Encoder:
     """Encoder for one tokenizer file; ``encode`` returns little-endian uint32 ids.
 
-    What is kept is emptied at ``limit`` parts or ``piece_limit`` pieces (checked
-    after each text), which bounds memory.
+    What is kept is emptied at ``limit`` entries (checked after each text), which bounds memory.
     """
 
-    def __init__(self, path: str, limit: int = 250_000, piece_limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.norm, self.pre, self.model = self.tok.normalizer, self.tok.pre_tokenizer, self.tok.model
-        self.limit, self.piece_limit = limit, piece_limit
-        self.parts, self.pieces = _Learned(self._part), _Learned(self._piece)
+        self.limit = limit
+        self.pieces, self.parts = _Learned(self._piece), _Learned(self._part)
         # with this normaliser white space only separates; otherwise it is kept
         self.drops_space = self.norm is not None and self.tok.encode(" \n ", add_special_tokens=False).ids == []
 
     def _full(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of one piece, in the stand-in letters of the model."""
-        ids = [t.id for t in self.model.tokenize(piece)]
+    def _ids(self, stand_in: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(stand_in)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _part(self, part) -> bytes:
-        s = part.decode() if isinstance(part, bytes) else part
-        known = self.pieces
-        if s.isascii() and s.isprintable():
-            found = _DROPPING.findall(s) if self.drops_space else [x.replace(" ", "\u0120") for x in _KEEPING.findall(s)]
-        elif _PLAIN.fullmatch(s):
-            found = _DROPPING.findall(s.lower()) if self.drops_space else _KEEPING.findall(s)
-            found = [x.encode().decode("latin-1").translate(_STAND_IN) for x in found]
-        else:
-            if self.norm is not None:
-                s = self.norm.normalize_str(s)
-            found = [x for x, _ in self.pre.pre_tokenize_str(s)]
-        return b"".join([known[x] for x in found])
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece of plain text."""
+        return self._ids(piece.encode().decode("latin-1").translate(_STAND_IN))
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part of any text, cut by the tokenizer itself."""
+        s = part if self.norm is None else self.norm.normalize_str(part)
+        return b"".join([self._ids(x) for x, _ in self.pre.pre_tokenize_str(s)])
 
     def encode(self, text: str) -> bytes:
         if "<|" in text:
             return self._full(text)
-        if self.drops_space:
-            if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+        if _PLAIN.fullmatch(text):
+            found = _DROPPING.findall(text.lower()) if self.drops_space else _KEEPING.findall(text)
+            out = b"".join(map(self.pieces.__getitem__, found))
+        elif self.drops_space:
+            if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
-            parts = text.encode().lower().split()
+            out = b"".join([self.parts[p.decode()] for p in text.encode().lower().split()])
+        elif _ODD_SPACE.search(text):
+            out = self._full(text)
         else:
-            if _ODD_SPACE.search(text):
-                return self._full(text)
-            parts = _PARTS.findall(text)
-        out = b"".join(map(self.parts.__getitem__, parts))
-        if len(self.parts) > self.limit:
-            self.parts.clear()
-        if len(self.pieces) > self.piece_limit:
+            out = b"".join(map(self.parts.__getitem__, _PARTS.findall(text)))
+        if len(self.pieces) + len(self.parts) > self.limit:
             self.pieces.clear()
+            self.parts.clear()
         return out
 
 

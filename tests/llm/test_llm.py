@@ -65,7 +65,7 @@ def near_copies(n, seed=3):
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_cached_encoding_equals_the_library(name):
-    e = Encoder(tokenizer_path(name), limit=50, piece_limit=50)
+    e = Encoder(tokenizer_path(name), limit=50)
     texts = [t or "" for t in ODD] + ["  a  b\n\n  c\t\td \n", "don't DON'T 's 12345 x²Ⅷ", "a\xa0b  　c", "<|endoftext|> hi", "a\x1cb \x1d c", "İstanbul KK ΣΑΣ σς", "ﬁ ½ x́"]
     rng = random.Random(1)
     texts += ["".join(rng.choice(" \n\tabcXYZé.,'!0123  ") for _ in range(200)) for _ in range(200)]
