@@ -29,9 +29,17 @@ MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_2 = np.uint64(0x94D049BB133111EB)
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: texts can be long, and a Python
+#: worker and its executor hold a few copies of a batch.
+BATCH_ROWS, _DEFAULT_ROWS = "500", "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application."""
+    """Give the executors this package, once per application, and keep Arrow batches small."""
     sc = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     if sc.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parents[1]
