@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -98,7 +98,16 @@ def permutation(expr: DataFrame, obs: DataFrame, group: str, n_perm: int, seed:
     full = grid.join(sums, ["gene", "perm"], "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
     seen = full.where("perm = 0").select("gene", F.col("m").alias("observed"))
     null = full.where("perm > 0").join(seen, "gene")
-    return null.groupBy("gene", "observed").agg(((F.count(F.when(F.col("m") >= F.col("observed") - 1e-12, 1)) + 1) / (n_perm + 1)).alias("pvalue"), F.try_divide(F.first("observed") - F.avg("m"), F.stddev_pop("m")).alias("z"))
+    # n_perm means of a gene, folded in ascending order: sums in order of arrival would differ in their last bits
+    means = null.groupBy("gene", "observed").agg(F.array_sort(F.collect_list("m")).alias("ms"))
+
+    def total(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0.0), lambda s, m: s + m)
+
+    found = F.size(F.filter("ms", lambda m: m >= F.col("observed") - 1e-12))
+    means = means.withColumn("mean", total(F.col("ms")) / n_perm)
+    std = F.sqrt(total(F.transform("ms", lambda m: (m - F.col("mean")) * (m - F.col("mean")))) / n_perm)
+    return means.select("gene", "observed", ((found + 1) / (n_perm + 1)).alias("pvalue"), F.try_divide(F.col("observed") - F.col("mean"), std).alias("z"))
 
 
 def block_permutation(values: DataFrame, n_perm: int, seed: int = 0, statistic=None) -> DataFrame:
