@@ -1,10 +1,12 @@
 """Training-data operators against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -263,6 +265,35 @@ def test_mixture_reaches_its_targets(spark):
     assert mixing.replicate(d.limit(0), mixing.rates(d.limit(0)), names=("r", "k", "c")).count() == 0
 
 
+def test_mixture_draws_large_rates(spark):
+    def draw(rate, doc_id):
+        u = int(hashlib.md5(f"mix|{doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        total = k = 0
+        while (total := total + math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))) <= u:
+            k += 1
+        return k
+
+    rows = [(i, "t", None, "a" if i > 3 else "b" if i > 1 else "c" if i else None, 0.0) for i in range(400)]
+    d = spark.createDataFrame(rows, DOC)
+    r = mixing.rates(d, {"a": 1.0, "b": 1.0, "c": 2.0, None: 46.0}, total=50_000)
+    assert {x.source: x.rate for x in r.collect()} == pytest.approx({"a": 1000 / 396, "b": 500.0, "c": 2000.0, None: 46_000.0})
+    got = {x.doc_id: (x.r, x.k, x.n) for x in mixing.replicate(d, r, names=("r", "k", "c")).groupBy("doc_id", "r", "k").agg(F.count_distinct("c").alias("n")).collect()}
+    rate = {x.source: x.rate for x in r.collect()}
+    want = {i: (rate[s], k, k) for i, _, _, s, _ in rows if (k := draw(rate[s], i))}
+    assert got == want
+
+
+def test_mixture_of_a_source_with_one_document_equals_sql(spark, tmp_path):
+    s = F.when(F.col("id") == 0, None).when(F.col("id") == 1, "one").otherwise("many")
+    spark.range(600_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), s.alias("source"), F.lit(1).alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.op7_source_mixture(spark, str(tmp_path)).groupBy("doc_id", "source", "rate", "n_copies").agg(F.count_distinct("copy").alias("n")).where("n = n_copies")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(f"select doc_id, source, rate, n_copies, count(distinct copy) as n from ({Q.OP7_SQL}) group by all").fetchall()
+    rows = set(map(tuple, got.collect()))
+    assert max(r[2] for r in rows) > 700 and rows == set(want)
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><div id="menu"><a href=x>Home</a></div>
 <div class="cookie-notice">We use cookies, ok</div><div class="wrap has-sidebar"><div class="post"><h2>Title &amp; more</h2><p>First   para, with &eacute; and <a href=x>a link</a> in it,
 long enough.<p>Second<br>line<br><br>New block, with more words in it.</p><ul><li>one thing<li>two things</ul><form><p>Search, for, stuff</p></form><script>x("</p>")</script></div>
