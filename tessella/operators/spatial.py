@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import finite, half_even, quantile, with_quantiles
+from tessella.sources.storage import cut
 
 #: Coordinate columns, in the order in which they are tried.
 COORDINATES = (("x", "y"), ("array_col", "array_row"), ("imagecol", "imagerow"), ("pxl_col_in_fullres", "pxl_row_in_fullres"), ("x_centroid", "y_centroid"))
@@ -129,19 +130,23 @@ def _near(a: DataFrame, b: DataFrame, side: Column | float) -> DataFrame:
     return left.join(right, ["cx", "cy"]).drop("cx", "cy")
 
 
-def nearest(a: DataFrame, b: DataFrame, k: int, side: float, keep_self: bool = True, rings: int = 12) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, k: int, side: float, keep_self: bool = True) -> DataFrame:
     """The ``k`` nearest rows of ``b`` (obs_id, x, y) to each of ``a``: ``id, other, dist, place``; ties by id.
 
     A cell's neighbourhood is certain up to the distance of its side; rows that have not found ``k``
-    within it search again with cells twice as wide, at most ``rings`` times.
+    within it search again with cells twice as wide, until none is left or the cells are as wide as the extent of all points:
+    then every row meets all of ``b`` and keeps what there is.
     """
     left = a.select(F.col("obs_id").alias("id"), F.col("x").cast("double").alias("xa"), F.col("y").cast("double").alias("ya"))
     right = b.select(F.col("obs_id").alias("other"), F.col("x").cast("double").alias("xb"), F.col("y").cast("double").alias("yb"))
-    size = b.count() - (0 if keep_self else 1)
-    want = min(k, max(size, 0))
+    places = left.select("xa", "ya").unionByName(right.select(F.col("xb").alias("xa"), F.col("yb").alias("ya")))
+    x, y = finite("xa"), finite("ya")
+    span = places.agg(F.hypot(F.max(x) - F.min(x), F.max(y) - F.min(y)).alias("s")).first().s or 0.0
+    widest = span * 1.001
+    # with so few rows, each of them is a neighbour
+    r = max(side, widest) if right.limit(k + 1).count() <= k else side
     done, todo = None, left
-    for ring in range(rings):
-        r = side * 2**ring
+    while True:
         pairs = _near(todo, right, r)
         if not keep_self:
             pairs = pairs.where("id <> other")
@@ -149,14 +154,15 @@ def nearest(a: DataFrame, b: DataFrame, k: int, side: float, keep_self: bool = T
         pairs = pairs.select("id", "other", d.alias("dist")).where(F.col("dist") <= r)
         w = W.partitionBy("id").orderBy("dist", "other")
         top = pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+        if r >= widest:
+            return top if done is None else done.unionByName(top)
         full = top.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("id")))
-        found = full.where(F.col("_n") >= want).drop("_n")
+        found = cut(full.where(F.col("_n") >= k).drop("_n"), "nearest")
         done = found if done is None else done.unionByName(found)
-        rest = todo.join(found.select("id").distinct(), "id", "left_anti")
-        if not rest.limit(1).count():
-            break
-        todo = rest
-    return done
+        todo = cut(todo.join(found.select("id").distinct(), "id", "left_anti"), "searching")
+        if todo.isEmpty():
+            return done
+        r *= 2
 
 
 def neighbour_distance(points: DataFrame, side: float = 1.0) -> DataFrame:

@@ -104,6 +104,18 @@ def test_nearest_widens_its_search(spark):
     assert got == {0: (1, 100.0), 1: (2, 1.0), 2: (1, 1.0)}
 
 
+def test_nearest_serves_points_far_apart(spark):
+    at = [(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 0.0, 2.0), (3, 5_000.0, 0.0), (4, 5_000.0, 7_000.0), (5, -3_000.0, 3_000.0)]
+    p = spark.createDataFrame(at, "obs_id long, x double, y double")
+    for k, keep in ((2, False), (3, True), (9, False)):
+        want = {(i, o, n) for i, x, y in at for n, (_, o) in enumerate(sorted((math.dist((x, y), (u, v)), o) for o, u, v in at if keep or o != i)[:k], 1)}
+        assert {(r.id, r.other, r.place) for r in spatial.nearest(p, p, k, 1.0, keep_self=keep).collect()} == want
+    other = p.withColumn("obs_id", F.col("obs_id") + 10)
+    assert spatial.nearest(other, p, 6, 1.0, keep_self=False).count() == 36
+    nowhere = spark.createDataFrame([(7, None, 1.0), (8, float("nan"), 1.0)], p.schema)
+    assert {r.id for r in spatial.nearest(p.unionByName(nowhere), p.unionByName(nowhere), 1, 1.0, keep_self=False).collect()} == {0, 1, 2, 3, 4, 5}
+
+
 def test_components_and_morphology(spark):
     px = spark.createDataFrame([(0, 0), (1, 0), (5, 5), (5, 6), (5, 7)], "px long, py long")
     ids = px.select((F.col("px") * F.lit(1 << 31) + F.col("py")).cast("long").alias("id"))
