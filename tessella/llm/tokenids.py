@@ -106,7 +106,7 @@ class Shard:
             left, byte, skip = left - len(bits), byte + 16, 0
 
     def ends(self) -> np.ndarray:
-        """All end positions, decoded at once."""
+        """All end positions, decoded at once; ``select`` gives each from the directory."""
         at = np.flatnonzero(np.unpackbits(self.high_part, bitorder="little"))[: self.n]
         out = (at - np.arange(self.n)).astype(np.int64) << self.low
         if self.low:
@@ -197,7 +197,7 @@ def _read(path: str, spark, digest: bool) -> DataFrame:
         for b in batches:
             for part, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = Shard(data.as_py())
-                ends = s.ends()
+                ends = np.fromiter(map(s.select, range(s.n)), np.int64, s.n)
                 begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 wide = memoryview(s.ids.astype("<u4").tobytes())
                 each = [wide[4 * i : 4 * j] for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]

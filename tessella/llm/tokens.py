@@ -3,8 +3,8 @@
 A text is cut where the tokenizer's own pre-tokenisation is certain to cut, the
 parts are looked up, and only parts not seen before go through the library
 (its normaliser, pre-tokeniser and model).  The ids equal those of
-``Tokenizer.encode(text, add_special_tokens=False)``; the strings of special
-tokens inside a text are ordinary text.
+``Tokenizer.encode(text, add_special_tokens=False)``: a text that holds the string of
+a special token goes through the library as a whole, which gives that token's id.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ _CONTRACTIONS = "'(?:s|t|re|ve|m|ll|d)"
 _KEEPING = re.compile(f" ?[{_LATIN}]+|{_CONTRACTIONS}| ?[0-9]+| ?[^{_SPACE}{_LATIN}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 _DROPPING = re.compile(f"[{_LATIN}]+|{_CONTRACTIONS}|[0-9]|[^{_SPACE}{_LATIN}0-9]+")
 
+#: Characters of the longest string whose ids are kept.
+_LONG = 48
+
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -50,31 +53,43 @@ def tokenizer_path(name: str) -> str:
 
 
 class _Learned(dict):
-    """Ids by key; a key not seen before is asked for, and kept."""
+    """Ids by key; a key not seen before is asked for.
+
+    Two generations bound the memory: a full one becomes the old one, from which what is used again is
+    taken over.  Long keys are not kept, so bytes are bounded with the number of keys.
+    """
 
-    def __init__(self, ask):
+    def __init__(self, ask, limit: int):
         super().__init__()
-        self.ask = ask
+        self.ask, self.limit, self.old = ask, limit, {}
 
     def __missing__(self, key):
-        ids = self[key] = self.ask(key)
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.ask(key)
+        if len(key) <= _LONG:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = ids
         return ids
 
 
 class Encoder:
     """Encoder for one tokenizer file; ``encode`` returns little-endian uint32 ids.
 
-    What is kept is emptied at ``limit`` entries (checked after each text), which bounds memory.
+    At most four times ``limit`` short strings and their ids are kept.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 80_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.norm, self.pre, self.model = self.tok.normalizer, self.tok.pre_tokenizer, self.tok.model
-        self.limit = limit
-        self.pieces, self.parts = _Learned(self._piece), _Learned(self._part)
+        # case as in a normalised text, so no text with a special token's string is overlooked
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
+        self.pieces, self.parts = _Learned(self._piece, limit), _Learned(self._part, limit)
         # with this normaliser white space only separates; otherwise it is kept
         self.drops_space = self.norm is not None and self.tok.encode(" \n ", add_special_tokens=False).ids == []
 
@@ -95,23 +110,18 @@ class Encoder:
         return b"".join([self._ids(x) for x, _ in self.pre.pre_tokenize_str(s)])
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text:
+        if self.special.search(text):
             return self._full(text)
         if _PLAIN.fullmatch(text):
             found = _DROPPING.findall(text.lower()) if self.drops_space else _KEEPING.findall(text)
-            out = b"".join(map(self.pieces.__getitem__, found))
-        elif self.drops_space:
+            return b"".join(map(self.pieces.__getitem__, found))
+        if self.drops_space:
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
-            out = b"".join([self.parts[p.decode()] for p in text.encode().lower().split()])
-        elif _ODD_SPACE.search(text):
-            out = self._full(text)
-        else:
-            out = b"".join(map(self.parts.__getitem__, _PARTS.findall(text)))
-        if len(self.pieces) + len(self.parts) > self.limit:
-            self.pieces.clear()
-            self.parts.clear()
-        return out
+            return b"".join([self.parts[p.decode()] for p in text.encode().lower().split()])
+        if _ODD_SPACE.search(text):
+            return self._full(text)
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(text)))
 
 
 def encoder(path: str) -> Encoder:
