@@ -1,9 +1,10 @@
 """Main text of web pages by tree scoring.
 
-A tolerant single pass builds a light tree.  Elements that are never content (menus,
-forms, scripts, notices, adverts, comments ...) fall away.  Every paragraph gives
-points for its length and commas to its ancestors, less at each level; an element's points are
-discounted by its link density.  The best container, widened to an enclosing article, and
+A tolerant single pass, linear in the page however deep it nests, builds a light tree.  Elements that
+are never content (menus, scripts, notices, adverts, comments ...) fall away; a form, or an element with a
+telling name, falls away unless it holds most of the page's running text, or is a section of the article.
+Every paragraph gives points for its length and commas to its ancestors, less at each level; an element's
+points are discounted by its link density.  The best container, widened to an enclosing article, and
 those siblings that look alike are kept, with all their text.
 """
 
@@ -28,6 +29,7 @@ _WORD = re.compile(r"[a-z]+")
 #: Fixed values of HTML: elements by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -36,59 +38,120 @@ CLOSES_P = BLOCK - frozenset("body head html tbody td tfoot th thead tr dd dt li
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
 BOUNDARY = frozenset("ul ol dl table select article section div body html main nav".split())
 #: Never part of an article's text.
-DROP = frozenset("head script style noscript template nav aside footer form button select textarea input iframe object embed svg canvas math audio video dialog menu label fieldset map applet noembed noframes".split())
+DROP = frozenset("head script style noscript template nav aside footer button select textarea input iframe object embed svg canvas audio video dialog menu label map applet noembed noframes".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status tablist".split())
 #: Words in class or id of what is not the article.
 DROP_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert popup popups modal overlay newsletter subscribe subscription signup sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager comment comments disqus respond reply replies discussion share sharing social related recommended recommendations widget widgets footer header masthead toolbar login search skip tags".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert popup popups modal subscribe subscription signup sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager comment comments disqus respond reply replies footer masthead toolbar login search skip".split()
 )
+#: Words that wrappers and sections of articles have too: they count less.
+WEAK_WORDS = frozenset("overlay newsletter discussion share sharing social related recommended recommendations widget widgets header tags".split())
+#: After "related": a section on the literature.
+_LITERATURE = frozenset("work works research literature methods".split())
 _SAFE = frozenset("html body article main".split())
+#: Pieces of text this long, outside links, are running text.
+RUNNING = 25
+#: An element's points reach so many of its ancestors.
+LEVELS = 64
+#: What becomes of an element: kept, dropped, dropped unless all running text is in it, dropped unless most is.
+KEEP, NEVER, STRONG, WEAK = range(4)
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "drop", "role", "points", "chars", "linked", "has_block")
+    __slots__ = ("tag", "up", "kids", "drop", "role", "points", "chars", "linked", "running", "has_block")
 
-    def __init__(self, tag: str, up: Node | None, drop: bool = False, role: str = ""):
+    def __init__(self, tag: str, up: Node | None, drop: int = KEEP, role: str = ""):
         self.tag, self.up, self.drop, self.role = tag, up, drop, role
         self.kids: list = []
-        self.points, self.chars, self.linked, self.has_block = 0.0, 0, 0, False
+        self.points, self.chars, self.linked, self.running, self.has_block = 0.0, 0, 0, 0, False
 
 
 def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def _unwanted(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+def _unwanted(tag: str, attrs: dict[str, str], inside: bool) -> int:
     if tag in DROP:
-        return True
+        return NEVER
     if tag == "header" and not inside:
-        return True
+        return NEVER
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return tag not in ("html", "body")
+        return NEVER if tag not in ("html", "body") else KEEP
     if attrs.get("role", "").lower() in DROP_ROLES and tag not in ("html", "body"):
-        return True
+        return WEAK if attrs["role"].lower() == "form" else STRONG
     if tag in ("html", "body", "main"):
-        return False
+        return KEEP
+    plain = WEAK if tag in ("form", "fieldset") else KEEP
     if not (words := attrs.get("class", "") + " " + attrs.get("id", "")).strip():
-        return False
+        return plain
     found = _WORD.findall(words.lower())
-    hit = DROP_WORDS.intersection(found)
-    if not hit:
-        return False
+    strong, weak = DROP_WORDS.intersection(found), WEAK_WORDS.intersection(found)
+    if "related" in weak and _LITERATURE.intersection(found):
+        weak -= {"related"}
     if tag == "article":  # an article is only dropped as a comment or an advert
-        return bool(hit & {"comment", "comments", "reply", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "related"})
-    # "header" of the article itself, and hyphened names such as "has-sidebar" of a large wrapper
-    return not (inside and hit == {"header"}) and not {"has", "with", "no"}.intersection(found)
+        return STRONG if (strong | weak) & {"comment", "comments", "reply", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "related"} else KEEP
+    if inside:
+        weak -= {"header"}  # of the article itself
+        if tag == "section":
+            weak -= {"discussion"}
+    if {"has", "with", "no"}.intersection(found):  # names such as "has-sidebar" of a large wrapper
+        return plain
+    return STRONG if strong else WEAK if weak else plain
+
+
+class _Open:
+    """The open elements, with the places of those kinds that decide what a tag closes."""
+
+    def __init__(self, root: Node):
+        self.stack, self.by_tag = [root], {}
+        self.boundaries, self.blocks, self.articles = [0], [0], 0
+
+    def push(self, node: Node) -> None:
+        i, tag = len(self.stack), node.tag
+        self.stack.append(node)
+        self.by_tag.setdefault(tag, []).append(i)
+        if tag in BOUNDARY:
+            self.boundaries.append(i)
+        if tag in BLOCK and tag != "p":
+            self.blocks.append(i)
+        self.articles += tag in ("article", "main")
+
+    def close_to(self, i: int) -> None:
+        for node in self.stack[i:]:
+            self.articles -= node.tag in ("article", "main")
+            self.by_tag[node.tag].pop()
+        del self.stack[i:]
+        for at in (self.boundaries, self.blocks):
+            while at[-1] >= i:
+                at.pop()
+
+    def last(self, tag: str) -> int:
+        at = self.by_tag.get(tag)
+        return at[-1] if at else 0
+
+    def end(self, tag: str) -> None:
+        """An end tag closes its element; formatting does not close what surrounds its block."""
+        i = self.last(tag)
+        if i and (tag in BLOCK or i > max(self.blocks[-1], self.last("p"))):
+            self.close_to(i)
+
+    def implied_ends(self, tag: str) -> None:
+        ends = ENDS.get(tag, ())
+        while True:
+            i = max((self.last(t) for t in (*ends, *(("p",) if tag in CLOSES_P else ()))), default=0)
+            if i <= (self.boundaries[-1] if ends else max(self.boundaries[-1], self.blocks[-1])):
+                return
+            was = self.stack[i].tag
+            self.close_to(i)
+            if was == "p":
+                return
 
 
 def parse(html: str) -> Node:
     """Tree of the page; text pieces are strings among a node's children."""
     root = Node("#root", None)
-    at, stack, pos, n = root, [root], 0, len(html)
-
-    def close_to(i: int) -> None:
-        del stack[i:]
-
+    opened, pos, n = _Open(root), 0, len(html)
+    stack = opened.stack
     while pos < n:
         m = _TAG.search(html, pos)
         if m is None:
@@ -106,43 +169,52 @@ def parse(html: str) -> Node:
         if m[1] or m[4]:
             if tag == "br":
                 stack[-1].kids.append(Node("br", stack[-1]))
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close_to(i)
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break  # formatting does not close what surrounds its block
+            else:
+                opened.end(tag)
             continue
         if tag in CLOSES_P or tag in ENDS:
-            ends = ENDS.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):
-                t = stack[i].tag
-                if t in ends or (t == "p" and tag in CLOSES_P):
-                    close_to(i)
-                    if t == "p":
-                        break
-                    continue
-                if t in BOUNDARY or (t in BLOCK and t != "p" and not ends):
-                    break
+            opened.implied_ends(tag)
         at = stack[-1]
         raw_attrs = m[3] or m[6] or ""
         attrs = attributes(raw_attrs) if raw_attrs.strip(" /\n\t") else {}
-        node = Node(tag, at, _unwanted(tag, attrs, any(x.tag in ("article", "main") for x in stack)), attrs.get("role", "").lower())
+        node = Node(tag, at, _unwanted(tag, attrs, opened.articles > 0), attrs.get("role", "").lower())
         at.kids.append(node)
         if tag in VOID or (raw_attrs.endswith("/") and tag not in BLOCK and tag not in RAW):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, pos)
+            end = _RAW_END[tag].search(html, pos)
             body_end = end.start() if end else n
             node.kids.append(html[pos:body_end])
             close = html.find(">", body_end)
             pos = close + 1 if end and close >= 0 else n
             continue
-        stack.append(node)
+        opened.push(node)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Decide about elements with telling names by the running text in them."""
+    order, todo = [], [(root, False)]
+    while todo:
+        x, linked = todo.pop()
+        if x.drop == NEVER:
+            continue
+        order.append(x)
+        linked = linked or x.tag == "a"
+        for k in x.kids:
+            if not isinstance(k, str):
+                todo.append((k, linked))
+            elif not linked and len(t := k.strip()) >= RUNNING:
+                x.running += len(t)
+    for x in reversed(order):
+        if x.up is not None:
+            x.up.running += x.running
+    total = root.running
+    for x in order:
+        if (x.drop == WEAK and 2 * x.running > total) or (x.drop == STRONG and total and x.running == total):
+            x.drop = KEEP
+
+
 def _score(root: Node) -> list[Node]:
     """Points of every element that is kept, in page order; fills sizes and link sizes."""
     order: list[Node] = []
@@ -178,7 +250,7 @@ def _score(root: Node) -> list[Node]:
             points *= 0.3
         up, weight = (x.up if x.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "td", "dd", "li") else x), 1.0
         level = 0
-        while up is not None:
+        while up is not None and level < LEVELS:
             up.points += points * weight
             level += 1
             weight = 0.5 if level == 1 else 1 / (3 * level)
@@ -192,6 +264,7 @@ def _value(x: Node) -> float:
 
 def main_nodes(root: Node) -> list[Node]:
     """The best container, or it and its like siblings, in page order."""
+    _settle(root)
     order = _score(root)
     box = [x for x in order if x.tag in ("div", "section", "article", "main", "body", "td", "center", "blockquote", "#root", "ul", "ol", "dl", "table", "html", "span", "dd", "li", "figure", "details")]
     best = max(box, key=_value, default=root)
@@ -221,7 +294,7 @@ def main_nodes(root: Node) -> list[Node]:
 
 
 def _menu(x: Node) -> bool:
-    """A list, or block of short links, inside the article."""
+    """A list, or block of short links, of a page without a container of its own for the article."""
     return x.tag in ("ul", "ol", "div", "table", "p", "section") and x.chars > 0 and x.linked / x.chars > 0.8 and sum(1 for k in x.kids if not isinstance(k, str)) > 1
 
 
@@ -239,6 +312,7 @@ def blocks(nodes: list[Node]) -> list[str]:
 
     for node in nodes:
         todo: list = [node]
+        loose = node.tag in ("body", "html", "#root")
         while todo:
             x = todo.pop()
             if x is None:
@@ -256,7 +330,7 @@ def blocks(nodes: list[Node]) -> list[str]:
                     flush()
             else:
                 if x.tag in BLOCK:
-                    if x is not node and _menu(x):
+                    if loose and x is not node and _menu(x):
                         continue
                     flush()
                     breaks = 0
@@ -272,9 +346,10 @@ def main_text(html: str) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_name: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add the main text to every row.  Null or empty html, and pages without text, give the empty text; whole pages are read, and repeated rows stay."""
+    """Add the main text to every row.  Null or empty html, and pages without text, give the empty text; whole pages are read, and repeated rows stay.  A column that is already called ``text_name`` is replaced."""
 
     def make():
         return lambda html: [pa.array(map(main_text, str_texts(html)), pa.string())]
 
+    keep = [c for c in (pages.columns if keep is None else keep) if c.lower() != text_name.lower()]
     return map_rows(pages, [html_col], [(text_name, T.StringType())], make, keep=keep)
