@@ -18,11 +18,11 @@ from html import escape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_texts, map_rows, new_path, str_texts
+from .common import byte_texts, fresh, map_rows, new_path, ship, str_texts
 from .htmltext import BLOCK, Node, attributes, parse
 
 #: Samples in a row of the picture; payloads are padded to whole rows.
@@ -97,19 +97,11 @@ def parse_items(html: str) -> list[dict]:
         if text:
             items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
-    def caption_of(x: Node) -> str | None:
-        up = x.up
-        while up is not None and up.tag != "figure":
-            up = up.up
-        if up is not None:
-            for k in up.kids:
-                if not isinstance(k, str) and k.tag == "figcaption":
-                    return " ".join(" ".join(_strings(k)).split())
-        return None
-
-    todo: list = [_with_images(html)]
+    # an element with the figure that it stands in
+    todo: list = [(_with_images(html), None)]
+    captions: dict[int, str | None] = {}
     while todo:
-        x = todo.pop()
+        x, figure = todo.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
@@ -118,20 +110,34 @@ def parse_items(html: str) -> list[dict]:
             if x.role.startswith(REFERENCE):
                 flush()
                 source, _, alt = x.role.partition("\n")
-                items.append({"kind": "media", "text": None, "digest": source[len(REFERENCE) :], "caption": caption_of(x) or alt or None})
+                if figure is not None and id(figure) not in captions:
+                    captions[id(figure)] = _caption(figure)
+                items.append({"kind": "media", "text": None, "digest": source[len(REFERENCE) :], "caption": captions.get(id(figure)) or alt or None})
         elif x.tag in ("script", "style", "head", "noscript", "template", "figcaption"):
             continue
         else:
             if x.tag in BLOCK:
                 flush()
-                todo.append(None)
-            todo.extend(reversed(x.kids))
+                todo.append((None, None))
+            figure = x if x.tag == "figure" else figure
+            todo.extend((k, figure) for k in reversed(x.kids))
     flush()
     return [{"pos": i, **x} for i, x in enumerate(items)]
 
 
-def _strings(x: Node) -> list[str]:
-    return [s for k in x.kids for s in ([k] if isinstance(k, str) else _strings(k))]
+def _caption(figure: Node) -> str | None:
+    """Text of a figure's first caption, white space as one space."""
+    for k in figure.kids:
+        if not isinstance(k, str) and k.tag == "figcaption":
+            todo, found = [k], []
+            while todo:
+                x = todo.pop()
+                if isinstance(x, str):
+                    found.append(x)
+                else:
+                    todo.extend(reversed(x.kids))
+            return " ".join("".join(found).split())
+    return None
 
 
 _IMG = re.compile(r"<img\b((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.I)
@@ -148,7 +154,12 @@ def _with_images(html: str) -> Node:
 
 
 def parse_interleaved(pages: DataFrame, html_col: str = "html", name: str = "items", with_text: bool = True, keep: list[str] | None = None) -> DataFrame:
-    """Add the ordered items of each page.  ``with_text=False`` leaves text blocks' strings null (their places stay)."""
+    """Add the ordered items of each page: text blocks and media references as they stand in it.
+
+    ``with_text=False`` leaves text blocks' strings null (their places stay).  Null or empty html has no items.  A
+    column that is already called ``name`` is replaced.
+    """
+    keep = [c for c in (pages.columns if keep is None else keep) if c.lower() != name.lower()]
 
     def make():
         def f(html):
@@ -170,6 +181,7 @@ def store_media(payloads: DataFrame, column: str = "text", path: str | None = No
 
     Rows: ``digest`` of the padded payload, ``media``.  A task stores a digest once; two tasks may both store it.
     """
+    ship(payloads.sparkSession)
     path = path or new_path(payloads.sparkSession, "media")
 
     def run(batches):
@@ -212,26 +224,35 @@ def read_media(spark, path: str) -> DataFrame:
 
 
 def resolve(sequences: DataFrame, media: DataFrame, items: str = "items", keep: list[str] | None = None) -> DataFrame:
-    """Each media reference with what its digest names: the kept columns, ``pos, caption, digest`` and the media's columns (null if the store lacks the digest)."""
+    """Each media reference with what its digest names: the kept columns, ``pos, n_items, caption, digest`` and the media's columns (null if the store lacks the digest).
+
+    Kept columns that have the name of one of these are left out.
+    """
+    taken = {c.lower() for c in ("pos", "n_items", "caption", "digest", *media.columns)}
     keep = [c for c in sequences.columns if c != items] if keep is None else keep
-    refs = sequences.select(*keep, F.explode(F.filter(items, lambda x: x["kind"] == "media")).alias("_item"))
-    refs = refs.select(*keep, F.col("_item.pos").alias("pos"), F.col("_item.caption").alias("caption"), F.col("_item.digest").alias("digest"))
+    (item,) = fresh(sequences, "_item")
+    keep = [F.col(f"`{c}`") for c in keep if c.lower() not in taken]
+    refs = sequences.select(*keep, F.size(items).alias("n_items"), F.explode(F.filter(items, lambda x: x["kind"] == "media")).alias(item))
+    refs = refs.select(*keep, "n_items", *[F.col(f"{item}.{c}").alias(c) for c in ("pos", "caption", "digest")])
     return refs.join(media, "digest", "left")
 
 
 def as_page(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents as pages that refer to their own text as a medium: ``id, n_bytes, html``; null texts are empty."""
+    """Documents as pages that refer to their own text as a medium: ``doc_id, n_bytes, html``; null texts are empty.
 
-    def make():
-        def f(name, text):
-            html, sizes = [], []
-            for i, x in zip(name.to_pylist(), byte_texts(text), strict=True):
-                d = hashlib.sha256(pad(x)).hexdigest()
-                sizes.append(len(x))
-                html.append(f'<article><h1>Document {i}</h1><figure><img src="{REFERENCE}{d}" alt=""><figcaption>Text of document {i}</figcaption></figure></article>')
-            return [pa.array(sizes, pa.int64()), pa.array(html, pa.string())]
-
-        return f
-
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_rows(d, ["doc_id", "text"], [("n_bytes", T.LongType()), ("html", T.StringType())], make, keep=["doc_id"])
+    The text's lines are the page's paragraphs; the reference stands, with a caption that names its place, in the middle of them.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    n = F.octet_length(text)
+    padding = F.greatest(F.lit(WIDTH), F.ceil(n / WIDTH).cast("int") * WIDTH) - n
+    digest = F.sha2(F.concat(F.encode(text, "UTF-8"), F.unhex(F.repeat(F.lit("00"), padding))), 256)
+    lines = F.split(F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), "\n")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), n.cast("long").alias("n_bytes"), digest.alias("_digest"), lines.alias("_lines"))
+    half = F.ceil(F.size("_lines") / 2).cast("int")
+    before, after = F.slice("_lines", 1, half), F.slice("_lines", half + 1, F.size("_lines"))
+
+    def paragraphs(part: Column) -> Column:
+        return F.when(F.size(part) > 0, F.concat(F.lit("<p>"), F.array_join(part, "</p><p>"), F.lit("</p>"))).otherwise("")
+
+    figure = F.format_string(f'<figure><img src="{REFERENCE}%s" alt=""><figcaption>After line %d of %d</figcaption></figure>', "_digest", half, F.size("_lines"))
+    return rows.select("doc_id", "n_bytes", F.concat(F.lit("<article>"), paragraphs(before), figure, paragraphs(after), F.lit("</article>")).alias("html"))

@@ -80,9 +80,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     stored = cut(media.read_media(spark, media.store_media(docs)), "media_features")
-    sequences = media.parse_interleaved(media.as_page(docs), with_text=False, keep=["doc_id", "n_bytes"])
+    sequences = media.parse_interleaved(media.as_page(docs), keep=["doc_id", "n_bytes"])
     got = media.resolve(sequences, stored)
-    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "n_items", "caption")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
