@@ -3,7 +3,7 @@
 Unit vectors x are stored as integers q with one scale s each: x = s q + e,
 |e| <= r.  For two vectors  |x.y - s_x s_y q_x.q_y| <= |s_x q_x| r_y + |s_y q_y| r_x + r_x r_y,
 with the norms and residuals computed per vector and rounded up.  A tile product
-of integers (exact in float32 up to 2**24) therefore proves most pairs to be
+of integers (exact in float32 up to 2**24, beyond that in double precision) therefore proves most pairs to be
 under the threshold; only pairs possibly above it are computed again in double
 precision.
 
@@ -80,11 +80,14 @@ def link_tiles(a: _Tile, b: _Tile | None, least: float) -> tuple[np.ndarray, np.
     label = np.arange(len(a.ids) + (0 if same else len(b.ids)))
     shift = 0 if same else len(a.ids)
     forest: list[tuple[int, int]] = []
-    bq = b.q.astype(np.float32).T
+    # integers stay exact: a partial sum is at most the product of the lengths
+    length = [float(np.sqrt((t.q.astype(np.float64) ** 2).sum(axis=1).max())) for t in (a, b)]
+    kind = np.float32 if length[0] * length[1] < 2**24 else np.float64
+    bq = b.q.astype(kind).T
     bs, bn, br = (v.astype(np.float32) for v in (b.s, b.n, b.r))
     for i in range(0, len(a.ids), 256):
         part = slice(i, i + 256)
-        product = a.q[part].astype(np.float32) @ bq  # integers: exact
+        product = (a.q[part].astype(kind) @ bq).astype(np.float32, copy=False)
         product *= bs
         bound = np.outer(a.n[part], br) + np.outer(a.r[part], bn + br)
         product *= a.s[part].astype(np.float32)[:, None]
