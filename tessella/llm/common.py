@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -18,7 +19,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,17 +30,19 @@ MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_2 = np.uint64(0x94D049BB133111EB)
 
 
-#: Rows of an Arrow batch, where the session has Spark's default: texts can be long, and a Python
-#: worker and its executor hold a few copies of a batch.
-BATCH_ROWS, _DEFAULT_ROWS = "500", "10000"
+#: Bytes of an Arrow batch, where the session has set no limit of its own: texts can be long, and a
+#: Python worker and its executor hold a few copies of a batch.  Rows of a batch stay as they are set.
+BATCH_BYTES = 2 << 20
+#: Bytes of a row group of intermediate tables: what a writing task holds in memory.
+GROUP_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, and keep Arrow batches small."""
+    """Give the executors this package, once per application, and bound Arrow batches by bytes."""
     sc = spark.sparkContext
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(rows, _DEFAULT_ROWS) == _DEFAULT_ROWS:
-        spark.conf.set(rows, BATCH_ROWS)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit) == _default(spark, limit):
+        spark.conf.set(limit, str(BATCH_BYTES))
     if sc.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parents[1]
@@ -52,12 +55,18 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def _default(spark: SparkSession, name: str) -> str:
+    return spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(name)
+
+
 def workspace(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary
-    one where the session names none (tests on a single machine)."""
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one where a session on a
+    single machine names none.  On a cluster the executors would not share that, so there it is an error."""
     ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_DIR:
             _OWN_DIR[app] = tempfile.mkdtemp(prefix="tessella-work-")
@@ -73,7 +82,7 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -124,10 +133,26 @@ def map_rows(
             if b.num_rows:
                 new = f(*[b.column(need.index(c)) for c in columns])
                 yield pa.RecordBatch.from_arrays([b.column(need.index(c)) for c in keep] + list(new), names=[*keep, *[n for n, _ in added]])
+        pa.default_memory_pool().release_unused()
 
     return df.select(*[F.col(f"`{c}`") for c in need]).mapInArrow(run, schema)
 
 
+def text_scores(make: Callable[[], Callable[[pa.Array], pa.Array]], text: Column) -> Column:
+    """A number for each text: only the texts travel to Python, and only numbers come back.
+
+    ``make()`` runs once in each task and returns a function from texts (Arrow) to doubles.
+    """
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        f = make()
+        for t in texts:
+            yield f(t)
+        pa.default_memory_pool().release_unused()
+
+    return F.arrow_udf(run, T.DoubleType())(text.cast("string"))
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

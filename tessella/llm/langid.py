@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_rows, str_texts
+from .common import map_rows, ship, str_texts, text_scores
 from .features import DIM, letter_stream, ngram_vector
 
 #: Well-known families by ISO 639-1 code.  A language not listed
@@ -116,18 +116,20 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
-    """Fit on about ``per_language`` labelled documents of each label (the bound on what
-    reaches the driver), none of them held out.  Sample shares come from counts over all
-    rows; languages are assumed to be at most a few hundred.  Rows without label, or
-    without a letter, are not used; no usable row gives a model that knows no language.
+    """Fit on about ``per_language`` labelled documents of each label, none of them held out.
+
+    Sample shares come from counts of the distinct (id, text) of each label over all rows, and rows that repeat both
+    count once, so what reaches the driver is bounded whatever the ids are (twice the expected sample is its hard
+    limit); languages are assumed to be at most a few hundred.  A null id is an id like any other.  Rows without label,
+    or without a letter, are not used; no usable row gives a model that knows no language.
     """
     rows = docs.where(~held_out(F.col(id_col)) & F.col(label_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    rows = rows.withColumn("u", F.pmod(F.xxhash64("id", F.xxhash64("text"), F.lit(7)), F.lit(1 << 30)) / float(1 << 30))
+    counts = {r[0]: r[1] for r in rows.groupBy("label").agg(F.approx_count_distinct("u", 0.02)).collect()}
     if not counts:
         return Model([], {})
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
-    u = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(u < share[F.col("label")])
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / max(1, n)))])
+    sample = rows.where(F.col("u") < share[F.col("label")]).dropDuplicates(["label", "u"]).orderBy("u", "label").limit(2 * per_language * len(counts))
 
     def make():
         def f(text):
@@ -147,8 +149,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: st
     """Add the predicted language and a score in [0, 1] to every row.
 
     ``und`` with score 0 where the text is null or has no letter.  Only the text is an
-    input of the prediction; whole texts count.
+    input of the prediction; whole texts count.  Columns that already have these names are replaced.
     """
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (lang_name.lower(), score_name.lower())]
 
     def make():
         def f(text):
@@ -160,10 +163,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: st
     return map_rows(docs, [text_col], [(lang_name, T.StringType()), (score_name, T.DoubleType())], make, keep=keep)
 
 
-def accepted(docs: DataFrame, model: Model, languages: list[str] | None = None, least: float = 0.05) -> DataFrame:
-    """Rows of ``docs`` (its columns) in a language that is learned and wanted (default: any), with a score of ``least`` or more."""
-    lang, score = fresh(docs, "lang_pred", "lang_score")
-    good = (F.col(lang) != UNKNOWN) & (F.col(score) >= least)
-    if languages is not None:
-        good &= F.col(lang).isin(languages)
-    return predict(docs, model, lang_name=lang, score_name=score).where(good).drop(lang, score)
+def accepted(docs: DataFrame, model: Model, languages: list[str] | None = None, least: float = 0.05, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` (its columns) in a language that is learned and wanted (default: any), with a score of ``least`` or more.  Texts that are null or without a letter go."""
+    ship(docs.sparkSession)
+    wanted = None if languages is None else frozenset(languages)
+
+    def make():
+        def rating(text: str) -> float:
+            lang, score = model.predict(text)
+            return score if lang != UNKNOWN and (wanted is None or lang in wanted) else -1.0
+
+        return lambda text: pa.array(map(rating, str_texts(text)), pa.float64())
+
+    return docs.where(text_scores(make, docs[text_col]) >= least)

@@ -75,11 +75,11 @@ def replicate(docs: DataFrame, rate_table: DataFrame, seed: str = "mix", id_col:
     """Each row as often as its draw says, in a global pseudo-random order; every row's columns, the rate, the number of copies and the copy's number (from 0).
 
     The draw depends on the seed and the id alone: rows that repeat an id are repeated
-    alike.  A null id draws as the text ``null``.
+    alike.  A null id draws as the text ``null``.  Columns that already have one of the ``names`` are replaced.
     """
     spark = docs.sparkSession
     small = rate_table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n.lower() for n in names}]
     r_src, r_rate, r_low, r_cdf = fresh(docs, "_source", "_rate", "_low", "_cdf")
     table = rate_table.select(F.col("source").alias(r_src), F.col("rate").alias(r_rate), F.col("low").alias(r_low), F.col("cdf").alias(r_cdf))
     name = F.coalesce(docs[id_col].cast("string"), F.lit("null"))

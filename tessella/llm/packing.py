@@ -127,7 +127,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, closed_room: int = 0, fan: int
     go by doc_id and piece; an empty input gives an empty result.
     """
     names = [f.split()[0] for f in PIECE.split(", ")]
-    level = cut(pieces.select(*names).mapInArrow(_local(capacity, closed_room), _BINS), "bins")
+    # written first: a lost executor does not tokenise again, and one Python worker serves a task
+    level = cut(cut(pieces.select(*names), "pieces").mapInArrow(_local(capacity, closed_room), _BINS), "bins")
     out = [*names, "sequence_id", "offset"]
     n_parts = level.agg(F.max("part")).first()[0]
     if n_parts is None:

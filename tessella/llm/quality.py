@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_rows, str_texts
+from .common import map_rows, ship, str_texts, text_scores
 from .features import DIM, ngram_vector, shape_stream
 
 #: Names of the heuristics, in the order of their votes.
@@ -119,11 +119,14 @@ class LabelModel:
         return dict(zip(LABELLERS, (right / (w * (self.p[:, :, 0] + self.p[:, :, 2])).sum(axis=0)).tolist(), strict=True))
 
 
-def fit_labels(codes: np.ndarray, counts: np.ndarray, rounds: int = 200, least: float = 0.95) -> LabelModel:
+def fit_labels(codes: np.ndarray, counts: np.ndarray, rounds: int = 500, strength: float = 2.0, expected: float = 0.0005) -> LabelModel:
     """Expectation-maximisation over vote patterns with their counts.
 
     It starts from heuristics that are right in most cases, so "good" keeps its
-    meaning.  Counts of 0 documents give that starting model.
+    meaning.  How often a heuristic calls a good document bad is estimated under a prior: ``expected``, with the weight
+    of ``strength`` times the good documents, so it means the same for any number of documents.  Without it, a rare
+    kind of bad text that one heuristic alone knows counts as an oddity of good ones; a heuristic that misfires on
+    many good documents overrules it.  Counts of 0 documents give the starting model.
     """
     k = len(LABELLERS)
     p = np.empty((2, k, 3))
@@ -140,11 +143,10 @@ def fit_labels(codes: np.ndarray, counts: np.ndarray, rounds: int = 200, least:
             for x in range(3):
                 p[y, :, x] = ((v == x) * w[:, None]).sum(axis=0)
             p[y] = (p[y] + 0.5) / (w.sum() + 1.5)
+        bad = (p[1, :, 0] + strength * expected) / (1 + strength)
+        p[1, :, 1:] *= ((1 - bad) / (1 - p[1, :, 0]))[:, None]
+        p[1, :, 0] = bad
         prior = float(np.clip((q * n).sum() / n.sum(), 0.02, 0.98))
-        # a bad vote is taken to be right in ``least`` of its cases at least; else a rare kind of bad text counts as an oddity of good ones
-        most = (1 - least) / least
-        p[1, :, 0] = np.minimum(p[1, :, 0], most * p[0, :, 0] * (1 - prior) / prior)
-        p[1, :, 1] = 1 - p[1, :, 0] - p[1, :, 2]
         p = np.maximum(p, 1e-6)
         done = abs(prior - model.prior) < 1e-9
         model = LabelModel(prior, p)
@@ -219,7 +221,8 @@ def fit(docs: DataFrame, sample: int = 3000, id_col: str = "doc_id", text_col: s
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("weak_label", "quality"), keep: list[str] | None = None) -> DataFrame:
-    """Add the label model's posterior and the scorer's rating, both in [0, 1].  Null and empty texts are rated like any other (every heuristic that can speak votes bad)."""
+    """Add the label model's posterior and the scorer's rating, both in [0, 1].  Null and empty texts are rated like any other (every heuristic that can speak votes bad).  Columns that already have these names are replaced."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n.lower() for n in names}]
 
     def make():
         def f(text):
@@ -232,7 +235,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[st
     return map_rows(docs, [text_col], [(n, T.DoubleType()) for n in names], make, keep=keep)
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` (its columns) that the scorer rates ``least`` or more."""
-    a, b = fresh(docs, "weak_label", "quality")
-    return score(docs, model, names=(a, b)).where(F.col(b) >= least).drop(a, b)
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` (its columns) that the scorer rates ``least`` or more.  Null and empty texts are rated like any other; no rows give none."""
+    ship(docs.sparkSession)
+
+    def make():
+        return lambda text: pa.array([model.score(t, votes(t)) for t in str_texts(text)], pa.float64())
+
+    return docs.where(text_scores(make, docs[text_col]) >= least)
