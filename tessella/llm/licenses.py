@@ -4,11 +4,12 @@ Every document's rolling word 2-gram hashes are joined to the positions of the s
 templates.  A hit votes for the diagonal (document position - template position) on
 which both texts would lie side by side.  Votes are counted by diagonal; a diagonal with
 every vote of the template is the template word for word.  For long
-templates, neighbouring diagonals (a word more or less here and there) are merged, and the
-merged span is verified by the share of distinct template positions it hits
-and by its length.
+templates, each diagonal is merged with its neighbours (a word more or less here and there): the
+merged span is verified by the share of distinct template positions it hits.  It cannot be longer than the
+template and the neighbourhood, so hits that lie further off neither help nor harm it.
 
-Only hits are shuffled, and the templates, a fixed table, are broadcast.
+Texts are cut into words once.  Hashes that no template has are dropped inside a row's array, before
+anything is exploded; only hits are shuffled, and the templates, a fixed table, are broadcast.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from pyspark.sql import types as T
 
 from .common import cut
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
 
 @dataclass(frozen=True)
 class Template:
@@ -53,14 +52,18 @@ NOTICES = (
 )
 
 
+#: What separates words.
+_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
 def words_of(text: Column) -> Column:
     """Words of a text, A-Z in lower case.
 
     ``lower`` also changes other letters, which no template has; the two whose lower case holds an ASCII letter are
     replaced first by others that do not.
     """
-    safe = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("ĸ")), F.lit("İ"), F.lit("ı"))
-    return F.regexp_extract_all(F.lower(safe), F.lit(WORD), F.lit(0))
+    safe = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")), F.lit("\u0130"), F.lit("\u0131"))
+    return F.array_remove(F.split(F.lower(safe), _SEPARATORS), "")
 
 
 def templates_table(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
@@ -70,38 +73,54 @@ def templates_table(spark: SparkSession, templates: tuple[Template, ...]) -> Dat
     return df.select("template", "label", "exact", "n", "at", F.xxhash64("a", "b").alias("h"))
 
 
-def hits(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_hash, template, label, exact, n, pos, at``: every template position that a document's 2-gram equals."""
+def grams(docs: DataFrame, templates: tuple[Template, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text_hash, n_words, grams``: a row for each document, with the places and hashes of those of its 2-grams that a template has."""
+    spark = docs.sparkSession
+    known = [r.h for r in templates_table(spark, templates).select("h").distinct().orderBy("h").collect()]  # fixed: as many as the templates' words
     words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), words_of(F.col(text_col)).alias("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1)))
-    rows = words.where(F.size("w") > 1).select("doc_id", "text_hash", F.posexplode(grams).alias("pos", "h"))
-    return rows.join(F.broadcast(templates), "h").drop("h")
+
+    def hit(x: Column, i: Column) -> Column:
+        h = F.xxhash64(x, F.get("w", i + 1))
+        return F.when(h.isin(known) & (i + 1 < F.size("w")), F.struct(i.alias("pos"), h.alias("h")))
+
+    found = F.filter(F.transform("w", hit), lambda x: x.isNotNull())
+    return words.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), found.alias("grams"))
+
+
+def hits(found: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
+    """``doc_id, text_hash, template, label, exact, n, pos, at``: every template position that a document's 2-gram equals."""
+    rows = found.select("doc_id", "text_hash", F.explode("grams").alias("g")).select("doc_id", "text_hash", "g.pos", "g.h")
+    return rows.join(F.broadcast(templates_table(found.sparkSession, templates)), "h").drop("h")
 
 
 def spans(found: DataFrame, drift: int = 3, least: float = 0.6) -> DataFrame:
     """Verified places: ``doc_id, text_hash, template, label, exact, start, end, share``; end is the last word's position.
 
-    Exact templates need all their 2-grams on one diagonal.  Others merge diagonals up to ``drift`` apart, and need the
-    share ``least`` of their distinct positions, within a span no longer than the template and 2 * drift words more.
+    Exact templates need all their 2-grams on one diagonal.  Others need the share ``least`` of their distinct
+    positions on diagonals at most ``drift`` from one of them, which gives the best place among its neighbours.
+    Repeated rows vote once.
     """
     from pyspark.sql import Window as W
 
     key = ["doc_id", "text_hash", "template", "label", "exact", "n"]
-    # repeated rows vote once
     votes = found.withColumn("diagonal", F.col("pos") - F.col("at")).groupBy(*key, "diagonal").agg(F.array_sort(F.collect_set("at")).alias("ats"))
-    strict = votes.where("exact and size(ats) = n").select(*key, F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n")).alias("end"), F.lit(1.0).alias("share"))
-    loose = votes.where("not exact")
-    # votes of one document and template only: sorted diagonals, split where the gap is wide
-    w = W.partitionBy(*key).orderBy("diagonal")
-    step = (F.col("diagonal") - F.lag("diagonal").over(w) > drift).cast("int")
-    grouped = loose.withColumn("island", F.sum(F.coalesce(step, F.lit(0))).over(w))
-    merged = grouped.groupBy(*key, "island").agg(
-        F.min(F.col("diagonal") + F.array_min("ats")).alias("start"),
-        F.max(F.col("diagonal") + F.array_max("ats")).alias("last"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("hit"),
+    # one document's diagonals of one template; a frame holds 2 * drift + 1 of them at most
+    near = W.partitionBy(*key).orderBy("diagonal").rangeBetween(-drift, drift)
+    merged = votes.select(
+        *key,
+        "diagonal",
+        F.when(F.col("exact"), F.size("ats")).otherwise(F.size(F.array_distinct(F.flatten(F.collect_list("ats").over(near))))).alias("hit"),
+        F.min(F.col("diagonal") + F.array_min("ats")).over(near).alias("first"),
+        F.max(F.col("diagonal") + F.array_max("ats")).over(near).alias("last"),
+    )
+    best = F.max(F.struct("hit", (-F.col("diagonal")).alias("d"))).over(near)
+    chosen = merged.withColumn("best", best).where(F.when(F.col("exact"), F.col("hit") == F.col("n")).otherwise((F.col("hit") >= least * F.col("n")) & (F.col("best.d") == -F.col("diagonal"))))
+    return chosen.select(
+        *key,
+        F.when(F.col("exact"), F.col("diagonal")).otherwise(F.col("first")).alias("start"),
+        F.when(F.col("exact"), F.col("diagonal") + F.col("n")).otherwise(F.col("last") + 1).alias("end"),
+        (F.col("hit") / F.col("n")).alias("share"),
     )
-    merged = merged.withColumn("share", F.col("hit") / F.col("n")).where((F.col("share") >= least) & (F.col("last") - F.col("start") <= F.col("n") + 2 * drift))
-    return strict.unionByName(merged.select(*key, "start", (F.col("last") + 1).alias("end"), "share"))
 
 
 def scan(docs: DataFrame, base: tuple[Template, ...] = BASE, notices: tuple[Template, ...] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,9 +131,8 @@ def scan(docs: DataFrame, base: tuple[Template, ...] = BASE, notices: tuple[Temp
     is the best share of a template found, and 0 without any.  Null texts are empty; rows
     that repeat get equal rows; a null id is an id like any other.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    table = templates_table(spark, base + notices)
-    places = spans(hits(docs, table, id_col, text_col))
+    rows = cut(grams(docs, base + notices, id_col, text_col), "license_grams")
+    places = spans(hits(rows, base + notices))
     by_doc = places.groupBy("doc_id", "text_hash").agg(
         F.count(F.when(F.col("exact"), 1)).alias("n_base"),
         F.min(F.when(F.col("exact"), F.col("start"))).cast("long").alias("first_word"),
@@ -123,11 +141,8 @@ def scan(docs: DataFrame, base: tuple[Template, ...] = BASE, notices: tuple[Temp
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("share").alias("score"),
     )
-    by_doc = cut(by_doc, "license_places")
-    size = F.size(words_of(F.col(text_col))).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), size.alias("n_words"))
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash"))
-    out = rows.alias("d").join(by_doc.alias("p"), same, "left")
+    out = rows.select("doc_id", "text_hash", "n_words").alias("d").join(by_doc.alias("p"), same, "left")
     return out.select(
         "d.doc_id",
         "n_words",
