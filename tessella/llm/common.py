@@ -109,6 +109,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """Columns that Spark can hash (maps and variants it cannot)."""
+    return [f.name for f in df.schema if not re.search(r"\b(map<|variant)", f.dataType.simpleString())]
+
+
 def map_rows(
     df: DataFrame,
     columns: list[str],

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, hashable
 
 #: The rates table is broadcast up to so many sources; beyond that it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -90,5 +90,7 @@ def replicate(docs: DataFrame, rate_table: DataFrame, seed: str = "mix", id_col:
     rows = joined.select(*[docs[c] for c in keep], F.col(r_rate).alias(rate), n.alias(copies), name.alias(r_src)).where(F.col(copies) > 0)
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col(copies) - 1)).alias(copy))
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spot = F.xxhash64(r_src, copy, F.lit(seed))
+    # the row's own columns spread rows that share an id, or have none
+    own = [F.col(f"`{c}`") for c in hashable(rows) if c in keep]
+    spot = F.xxhash64(r_src, copy, F.lit(seed), *own)
     return rows.repartition(n_parts, spot).sortWithinPartitions(F.xxhash64(spot, F.lit(1)), r_src, copy).drop(r_src)

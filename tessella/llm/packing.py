@@ -6,9 +6,10 @@
    theirs, best-fit again; the groups merge in turn, up to one group.
 
 An any-fit packing leaves at most one bin that is half full or less, so each
-partition brings at most one item that another bin could take, and needs at
-most as many hosts as there are such items.  Only these travel: the rows of a
-merge are bounded by the number of partitions, whatever the data.
+partition brings at most one item that another bin could take, and a merge needs at
+most as many hosts as it has such items.  Only these travel: a merge has at most
+``fan * (fan + 2)`` rows, whatever the data and however many partitions there are.
+The pieces themselves stay where they are until the moves of all rounds are known.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, map_rows, str_texts
@@ -133,55 +135,48 @@ def pack(pieces: DataFrame, capacity: int = 2048, closed_room: int = 0, fan: int
     n_parts = level.agg(F.max("part")).first()[0]
     if n_parts is None:
         return level.select(*out)
-    n_parts += 1
 
-    def chosen(df: DataFrame) -> DataFrame:
-        """What a merge can use of the open bins: the items, at most half full, and as many of the emptiest hosts as there can be items."""
-        from pyspark.sql import Window as W
+    def chosen(bins: DataFrame) -> DataFrame:
+        """What a merge can use of open bins: the item, at most half full, and as many of the emptiest hosts as there can be items."""
+        place = F.row_number().over(W.partitionBy("part").orderBy("fill", "sequence_id"))
+        return cut(bins.withColumn("_n", place).where(F.col("_n") <= fan + 2).select("part", "sequence_id", "fill"), "open")
 
-        bins = df.where("open").groupBy("part", "sequence_id").agg(F.max("fill").alias("fill"))
-        few = bins.withColumn("_n", F.row_number().over(W.partitionBy("part").orderBy("fill", "sequence_id"))).where(F.col("_n") <= n_parts + 1)
-        return few.select("part", "sequence_id", "fill")
-
-    done, groups = [], n_parts
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_group: dict[int, list[tuple[int, int]]] = {}
+        for b in batches:
+            for g, s, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                by_group.setdefault(g, []).append((f, s))
+        rows = []
+        for g, items in by_group.items():
+            items.sort(key=lambda x: (-x[0], x[1]))
+            room: list[int] = []
+            placed = best_fit([f for f, _ in items], room, capacity)
+            host: dict[int, int] = {}
+            at: dict[int, int] = {}
+            for (f, s), b in zip(items, placed, strict=True):
+                rows.append((s, host.setdefault(b, s), at.get(b, 0), g, capacity - room[b], room[b] > closed_room))
+                at[b] = at.get(b, 0) + f
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+        fields = ("sequence_id", "host", "shift", "part", "fill", "open")
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=fields)
+
+    live = chosen(level.where("open").groupBy("part", "sequence_id").agg(F.max("fill").alias("fill")))
+    moved, groups = None, n_parts + 1
     while groups > 1:
-        moving = cut(chosen(level), "open")
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by_group: dict[int, list[tuple[int, int]]] = {}
-            for b in batches:
-                for g, s, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    by_group.setdefault(g, []).append((f, s))
-            rows = []
-            for g, items in by_group.items():
-                items.sort(key=lambda x: (-x[0], x[1]))
-                room: list[int] = []
-                placed = best_fit([f for f, _ in items], room, capacity)
-                host: dict[int, int] = {}
-                at: dict[int, int] = {}
-                for (f, s), b in zip(items, placed, strict=True):
-                    rows.append((s, host.setdefault(b, s), at.get(b, 0), g, capacity - room[b], room[b] > closed_room))
-                    at[b] = at.get(b, 0) + f
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            names = ("sequence_id", "host", "shift", "group", "full", "open2")
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-
-        grouped = moving.select(F.floor(F.col("part") / fan).cast("int").alias("g"), "sequence_id", "fill").repartition("g")
-        moves = cut(grouped.mapInArrow(merge, "sequence_id long, host long, shift long, group int, full int, open2 boolean"), "moves")
-        moved = level.join(moves, "sequence_id", "left")
-        level = cut(
-            moved.select(
-                *names,
-                F.coalesce("host", "sequence_id").alias("sequence_id"),
-                (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"),
-                F.coalesce("group", F.floor(F.col("part") / fan)).cast("int").alias("part"),
-                F.coalesce("full", "fill").alias("fill"),
-                F.coalesce("open2", F.lit(False)).alias("open"),  # what could not travel is done
-            ),
-            "bins",
-        )
+        grouped = live.select(F.floor(F.col("part") / fan).cast("int").alias("g"), "sequence_id", "fill").repartition("g")
+        moves = cut(grouped.mapInArrow(merge, "sequence_id long, host long, shift long, part int, fill int, open boolean"), "moves")
+        step = moves.where("host <> sequence_id").select("sequence_id", "host", "shift")
+        if moved is None:
+            moved = step
+        else:  # what moved before goes along with its host
+            again = step.select(F.col("sequence_id").alias("host"), F.col("host").alias("_host"), F.col("shift").alias("_shift"))
+            carried = moved.join(again, "host", "left").select("sequence_id", F.coalesce("_host", "host").alias("host"), (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift"))
+            moved = cut(carried.unionByName(step), "moved")
+        live = chosen(moves.where("open and host = sequence_id").select("part", "sequence_id", "fill"))
         groups = -(-groups // fan)
-    return level.select(*out)
+    if moved is None:
+        return level.select(*out)
+    return level.join(moved, "sequence_id", "left").select(*names, F.coalesce("host", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
 
 
 def sequences(pieces_with_ids: DataFrame, placed: DataFrame) -> DataFrame:

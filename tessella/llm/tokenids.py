@@ -128,10 +128,11 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None = 2, shard_
     """Encode ``docs`` and write token shards; returns the table's path.
 
     Documents lie in ascending ``id_col`` order over all shards (null ids first,
-    repeated ids by their texts' order), null texts as empty, whole texts always.  Other
+    repeated ids by a hash of their texts), null texts as empty, whole texts always.  Other
     columns are not read.  A shard closes at ``shard_ids`` ids; a longer document has a
     shard of its own size.  Rows of the table: ``part, seq, n_docs, n_ids, shard``.
-    Partitions are ranges of the id, so one shuffle of the texts is all that moves.
+    Partitions are ranges of the id and that hash, so rows without an id, or of one id, are spread as well, and
+    one shuffle of the texts is all that moves.
     """
     ship(docs.sparkSession)
     path = path or new_path(docs.sparkSession, "tokens")
@@ -163,7 +164,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None = 2, shard_
             yield shard()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     # ids of frequent words compress well, and the shard's own parts stay addressable
     ordered.mapInArrow(run, "part int, seq long, n_docs long, n_ids long, shard binary").write.option("compression", "zstd").parquet(path)
     return path
