@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm import langid, mixing, neardup, quality
-from tessella.llm.common import cut, documents, fresh
+from tessella.llm.common import cut, documents, fresh, hashable
 from tessella.llm.queries import pack_documents
 
 
@@ -39,7 +39,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # ids that several rows carry are few, so only their rows move
     several = docs.groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
     same = docs["doc_id"].eqNullSafe(several[name])
-    first = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))).orderBy("text", F.xxhash64(*docs.columns))
+    first = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))).orderBy("text", F.xxhash64(*hashable(docs)))
     one = rows.join(several, same, "left_semi").withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n)
     return rows.join(several, same, "left_anti").unionAll(one)
 
