@@ -89,6 +89,16 @@ def benjamini_hochberg(df: DataFrame, p: str, name: str, by: list[str], tie: lis
     return out.unionByName(df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
+def hashed(*parts: Column | str | int) -> Column:
+    """MD5 of the parts, as hexadecimal text: a pseudo-random order that is the same for every partitioning and engine."""
+    return F.md5(F.concat_ws("|", *[col(p).cast("string") if not isinstance(p, int) else F.lit(str(p)) for p in parts]).cast("binary"))
+
+
+def hashed_int(digits: int, *parts: Column | str | int) -> Column:
+    """The first ``digits`` (at most 15) hexadecimal digits of ``hashed`` as a number."""
+    return F.conv(F.substring(hashed(*parts), 1, digits), 16, 10).cast("long")
+
+
 def weighted_average(v: Column, w: Column) -> Column:
     return F.try_divide(F.sum(v * w), F.sum(F.when(v.isNotNull(), w)))
 

@@ -77,6 +77,49 @@ def gains(focus: DataFrame, reference: DataFrame, by: list[str]) -> DataFrame:
     return j.select(*by, "gene", *[(F.lit(s) * (F.col(m) - F.col(f"_{m}"))).alias(f"gain_{m}") for m, s in METRICS.items()])
 
 
+def contrast(df: DataFrame, focus: str, reference: str, score: str, eps: float = 1e-6) -> DataFrame:
+    """Adds how far the focus' mean lies below the reference's (lower is better): ``contrast, contrast_abs, contrast_ratio``, and the average-rank percentile of ``score``."""
+    f, r = F.col(focus).cast("double"), F.col(reference).cast("double")
+    scored = df.withColumn("_one", F.lit(1))  # a row for each gene
+    out = scored.withColumn("contrast", r - f).withColumn("contrast_abs", F.abs(r - f)).withColumn("contrast_ratio", (r - f) / (r + f + eps))
+    pct = average_rank(score, ["_one"]) / F.count(score).over(W.partitionBy("_one"))
+    return out.withColumn("percentile", F.when(F.col(score).isNotNull(), pct)).drop("_one")
+
+
+def resolve_markers(panels: DataFrame, genes: DataFrame) -> DataFrame:
+    """``panel, gene`` of the panels' genes that exist; a panel without any is an error."""
+    known = panels.distinct().join(genes.select("gene").distinct().withColumn("_k", F.lit(1)), "gene", "left")
+    n = F.count("_k").over(W.partitionBy("panel"))
+    checked = known.withColumn("_n", n).where(F.when(F.col("_n") == 0, F.raise_error(F.concat(F.lit("no gene of the panel exists: "), F.col("panel"))).cast("boolean")).otherwise(F.lit(True)))
+    return checked.where("_k is not null").select("panel", "gene")
+
+
+def purity_contrast(focus: DataFrame, reference: DataFrame, n_classes: int, by: list[str]) -> DataFrame:
+    """Weighted purity of two segmentations (``by, seg, class, v``) side by side, and the focus' gain in each figure (less ambiguity is better)."""
+    signs = {"top": 1, "ambiguity": -1, "margin": 1, "purity": 1}
+    f = purity_summary(purity(focus, n_classes, by), "mass", by)
+    r = purity_summary(purity(reference, n_classes, by), "mass", by).select(*by, *[F.col(c).alias(f"ref_{c}") for c in signs])
+    return f.join(r, by).select(*by, *signs, *[f"ref_{c}" for c in signs], *[(s * (F.col(c) - F.col(f"ref_{c}"))).alias(f"gain_{c}") for c, s in signs.items()])
+
+
+def rank_concordance(a: DataFrame, b: DataFrame, top: int) -> DataFrame:
+    """Two rankings per ``scale``: common genes, Spearman, overlap and Jaccard of the genes ranked ``top`` or better."""
+    j = a.select("scale", "gene", F.col("rank").alias("ra")).join(b.select("scale", "gene", F.col("rank").alias("rb")), ["scale", "gene"])
+    j = j.withColumn("_pa", average_rank("ra", ["scale"])).withColumn("_pb", average_rank("rb", ["scale"]))
+    ina, inb = F.col("ra") <= top, F.col("rb") <= top
+    both, either = F.count(F.when(ina & inb, 1)), F.count(F.when(ina | inb, 1))
+    return j.groupBy("scale").agg(F.count(F.lit(1)).alias("n"), correlation("_pa", "_pb").alias("spearman"), both.alias("top_overlap"), F.try_divide(both, either).alias("top_jaccard"))
+
+
+def example_genes(scores: DataFrame, order: list, n: int, wanted: list[str] = ()) -> DataFrame:
+    """The ``n`` genes to show: those asked for that exist, in that order, then the best by ``order``: ``place, gene`` (the limit is the feature)."""
+    asked = F.array_position(F.array(*[F.lit(g) for g in wanted]), F.col("gene")) if wanted else F.lit(0)
+    x = scores.select("gene", F.when(asked > 0, asked).otherwise(1 << 30).alias("_a"), *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    top = x.orderBy("_a", *[f"_o{i}" for i in range(len(order))], "gene").limit(n)
+    w = W.orderBy("_a", *[f"_o{i}" for i in range(len(order))], "gene")
+    return top.select(F.row_number().over(w).cast("long").alias("place"), "gene")
+
+
 def tidy_summary(df: DataFrame, by: list[str], values: list[str], qs: tuple[float, ...] = (0.25, 0.75)) -> DataFrame:
     """Long summary: ``by, metric, n, mean, median, std (sample), positive, nonzero, q25 ...``."""
     long = df.unpivot(by, values, "metric", "value").where("value is not null")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.functions.stats import benjamini_hochberg, chi2_sf_even, normal_sf, zscore
+from tessella.functions.stats import benjamini_hochberg, chi2_sf_even, hashed, hashed_int, normal_sf, zscore
 
 
 def group_sizes(obs: DataFrame, least: int | str = "auto") -> DataFrame:
@@ -84,13 +84,13 @@ def permutation(expr: DataFrame, obs: DataFrame, group: str, n_perm: int, seed:
     """
     n_in = obs.where(F.col("celltype") == group).count()
     perms = obs.select("obs_id", F.explode(F.sequence(F.lit(0), F.lit(n_perm))).alias("perm"))
-    h = F.when((F.col("perm") == 0), F.lit(None)).otherwise(F.xxhash64(F.lit(seed), "perm", "obs_id"))
-    hashed = perms.where("perm > 0").withColumn("h", h).withColumn("bucket", F.shiftright("h", 54))
-    counts = hashed.groupBy("perm", "bucket").agg(F.count(F.lit(1)).alias("c"))
+    h = F.when((F.col("perm") == 0), F.lit(None)).otherwise(hashed_int(15, seed, "perm", "obs_id"))
+    drawn = perms.where("perm > 0").withColumn("h", h).withColumn("bucket", F.shiftright("h", 50))
+    counts = drawn.groupBy("perm", "bucket").agg(F.count(F.lit(1)).alias("c"))
     before = F.coalesce(F.sum("c").over(W.partitionBy("perm").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("before", before).where(F.col("before") < n_in)
     place = F.row_number().over(W.partitionBy("perm", "bucket").orderBy("h", "obs_id")) + F.col("before")
-    chosen = hashed.join(F.broadcast(counts), ["perm", "bucket"]).withColumn("place", place).where(F.col("place") <= n_in).select("perm", "obs_id")
+    chosen = drawn.join(F.broadcast(counts), ["perm", "bucket"]).withColumn("place", place).where(F.col("place") <= n_in).select("perm", "obs_id")
     own = obs.where(F.col("celltype") == group).select(F.lit(0).alias("perm"), "obs_id")
     sums = chosen.unionByName(own).join(expr, "obs_id").groupBy("gene", "perm").agg((F.sum("value") / n_in).alias("m"))
     genes = expr.select("gene").distinct()
@@ -120,7 +120,7 @@ def block_permutation(values: DataFrame, n_perm: int, seed: int = 0, statistic=N
     p = values.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
     w = W.partitionBy("perm", "block")
     a = p.withColumn("_k", F.row_number().over(w.orderBy("obs_id"))).drop("label")
-    b = p.withColumn("_k", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "perm", "obs_id")))).select("perm", "block", "_k", "label")
+    b = p.withColumn("_k", F.row_number().over(w.orderBy(hashed(seed, "perm", "obs_id"), "obs_id"))).select("perm", "block", "_k", "label")
     null = a.join(b, ["perm", "block", "_k"]).groupBy("perm").agg(stat.alias("null"))
     x = null.crossJoin(F.broadcast(observed))
     return x.agg(F.first("observed").alias("observed"), F.avg((F.abs("null") >= F.abs("observed") - 1e-12).cast("double")).alias("pvalue"), F.try_divide(F.first("observed") - F.avg("null"), F.stddev_pop("null")).alias("z"))
@@ -170,6 +170,33 @@ def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
     return s.withColumn("z", F.try_divide(F.col("w_plus") - n * (n + 1) / 4, sd)).withColumn("pvalue", F.least(2 * normal_sf(F.abs("z")), F.lit(1.0)))
 
 
+def by_scale_group(sets: DataFrame, effect: DataFrame) -> DataFrame:
+    """Effects of each scale group's genes (``grp, gene``) against all other genes, for every entity group: number of genes, mean log2 fold change in and out of the set, their difference, and the share with a positive one."""
+    n = F.count(F.lit(1))
+    all_ = effect.groupBy("celltype").agg(F.sum("log2_fc").alias("_s"), n.alias("_n"))
+    own = sets.select("grp", "gene").distinct().join(effect.select("gene", "celltype", "log2_fc"), "gene").groupBy("grp", "celltype").agg(n.alias("n"), F.sum("log2_fc").alias("s"), F.avg((F.col("log2_fc") > 0).cast("double")).alias("positive"))
+    j = own.join(all_, "celltype")
+    inside, outside = F.col("s") / F.col("n"), F.try_divide(F.col("_s") - F.col("s"), F.col("_n") - F.col("n"))
+    return j.select("grp", "celltype", "n", inside.alias("mean_in"), outside.alias("mean_out"), (inside - outside).alias("difference"), "positive")
+
+
+def sets_by_scale_group(sets: DataFrame, effect: DataFrame, moments: DataFrame, n_sets: int, bins: int, seed: int = 0) -> DataFrame:
+    """Each scale group's gene set against expression-matched random sets, for every entity group: observed mean, empirical p, z.
+
+    ``moments``: gene and mean.  Scale groups are few, so there is one plan for each.
+    """
+    out = None
+    for (g,) in sets.select("grp").distinct().orderBy("grp").collect():
+        own = sets.where(F.col("grp") == g).select("gene").distinct()
+        seen = effect.join(own, "gene", "left_semi").groupBy("celltype").agg(F.avg("log2_fc").alias("observed"))
+        null = matched_controls(moments, own, n_sets, bins, seed).join(effect.select("gene", "celltype", "log2_fc"), "gene").groupBy("control", "celltype").agg(F.avg("log2_fc").alias("v"))
+        at_least = F.count(F.when(F.col("v") >= F.col("observed"), 1))
+        one = null.join(seen, "celltype").groupBy("celltype").agg(F.first("observed").alias("observed"), ((at_least + 1) / (F.count(F.lit(1)) + 1)).alias("pvalue"), F.try_divide(F.first("observed") - F.avg("v"), F.stddev_pop("v")).alias("z"))
+        one = one.select(F.lit(g).alias("grp"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def bootstrap(gene_scores: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
     """Mean of ``score`` by ``panel`` with 2.5 % and 97.5 % quantiles over resamples of its genes.
 
@@ -178,7 +205,7 @@ def bootstrap(gene_scores: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
     w = W.partitionBy("panel")
     g = gene_scores.withColumn("k", F.row_number().over(w.orderBy("gene")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     slots = g.select("panel", F.col("k").alias("slot"), "n", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("boot"))
-    draws = slots.select("panel", "boot", F.pmod(F.xxhash64(F.lit(seed), "panel", "boot", "slot"), F.col("n")).alias("k"))
+    draws = slots.select("panel", "boot", F.pmod(hashed_int(12, seed, "panel", "boot", "slot"), F.col("n")).alias("k"))
     means = draws.join(g.select("panel", "k", "score"), ["panel", "k"]).groupBy("panel", "boot").agg(F.avg("score").alias("m"))
     ci = means.groupBy("panel").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
     return gene_scores.groupBy("panel").agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n")).join(ci, "panel")
@@ -196,5 +223,5 @@ def matched_controls(genes: DataFrame, panel: DataFrame, n_sets: int, bins: int,
     ranked = ranked.withColumn("bin", F.least(F.floor(F.col("_p") / F.col("_n") * bins), F.lit(bins - 1)).cast("int"))
     need = ranked.join(panel.select("gene"), "gene", "left_semi").groupBy("bin").agg(F.count(F.lit(1)).alias("need"))
     pool = ranked.join(panel.select("gene"), "gene", "left_anti").select("gene", "bin", F.explode(F.sequence(F.lit(1), F.lit(n_sets))).alias("control"))
-    w = W.partitionBy("control", "bin").orderBy(F.xxhash64(F.lit(seed), "control", "gene"), "gene")
+    w = W.partitionBy("control", "bin").orderBy(hashed(seed, "control", "gene"), "gene")
     return pool.withColumn("_r", F.row_number().over(w)).join(F.broadcast(need), "bin").where(F.col("_r") <= F.col("need")).select("control", "bin", "gene")

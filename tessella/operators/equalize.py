@@ -63,6 +63,19 @@ def alpha(x: DataFrame, lo: float = 0.2, hi: float = 1.0, invert: bool = False)
     return q.withColumn("alpha", lo + t * (hi - lo)).drop("_a", "_b")
 
 
+#: Methods by name.
+METHODS = {"balance": balance, "clip": clipped, "piecewise": piecewise, "perceptual": perceptual, "ecdf": ecdf, "histogram": histogram}
+
+
+def apply(x: DataFrame, chain: list[tuple]) -> DataFrame:
+    """Methods one after another: ``(name, *arguments)`` each."""
+    for name, *args in chain:
+        if name not in METHODS:
+            raise ValueError(f"unknown method {name!r}; one of {sorted(METHODS)}")
+        x = METHODS[name](x, *args).select(*_KEEP)
+    return x
+
+
 def edge_scores(before: DataFrame, after: DataFrame, edges: DataFrame, low: float = 0.2, high: float = 0.8) -> DataFrame:
     """How much differences across edges grew: on all edges, on the smallest and largest ones (by the values before), and the shares derived from them.
 

@@ -119,22 +119,31 @@ def guided(values: DataFrame, edges: DataFrame, eps: float) -> DataFrame:
     return values.join(mean, ["obs_id", "dim"]).select("obs_id", "dim", (F.col("a") * F.col("value") + F.col("b")).alias("value"))
 
 
-def heat(values: DataFrame, weights: DataFrame, t: float, tail: float = 1e-8) -> DataFrame:
-    """exp(-t (I - P)) x as a Poisson mixture of powers of the row-normalised weights P, up to a negligible tail."""
+def heat(values: DataFrame, weights: DataFrame, t: float, tail: float = 1e-8, longest: float = 16.0, cut_every: int = 4) -> DataFrame:
+    """exp(-t (I - P)) x as a Poisson mixture of powers of the row-normalised weights P.
+
+    Times beyond ``longest`` are steps of equal length one after another; in each, terms are added until what is left of the
+    mixture's mass is under ``tail`` of it, however many that takes.  Lineage is cut every few terms.
+    """
     import math
 
-    p = transform_weights(weights.select(F.col("src").alias("i"), F.col("dst").alias("j"), "weight"), "R")
-    x, k, mass = values, 0, math.exp(-t)
-    total = values.withColumn("value", F.col("value") * mass)
-    left, term = 1 - mass, mass
-    while left > tail and k < 60:
-        k += 1
-        moved = p.join(x.withColumnRenamed("obs_id", "j"), "j").groupBy(F.col("i").alias("obs_id"), "dim").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
-        x = cut(moved, "heat") if k % 4 == 0 else moved
-        term *= t / k
-        left -= term
-        total = total.unionByName(x.withColumn("value", F.col("value") * term))
-    return total.groupBy("obs_id", "dim").agg(F.sum("value").alias("value"))
+    p = cut(transform_weights(weights.select(F.col("src").alias("i"), F.col("dst").alias("j"), "weight"), "R"), "transition")
+    steps = max(1, math.ceil(t / longest))
+    s, out = t / steps, values.select("obs_id", "dim", F.col("value").cast("double").alias("value"))
+    for _ in range(steps):
+        k, term, left = 0, math.exp(-s), 1 - math.exp(-s)
+        x = out.select("obs_id", "dim", F.col("value").alias("x"), (F.col("value") * term).alias("sum"))
+        while left > tail / steps or k < s:
+            k += 1
+            term *= s / k
+            left -= term
+            moved = p.join(x.select(F.col("obs_id").alias("j"), "dim", "x"), "j").groupBy(F.col("i").alias("obs_id"), "dim").agg(F.sum(F.col("weight") * F.col("x")).alias("_x"))
+            new = F.coalesce("_x", F.lit(0.0))
+            x = x.join(moved, ["obs_id", "dim"], "left").select("obs_id", "dim", new.alias("x"), (F.col("sum") + new * term).alias("sum"))
+            if k % cut_every == 0:
+                x = cut(x, "heat")
+        out = cut(x.select("obs_id", "dim", F.col("sum").alias("value")), "heat")
+    return out
 
 
 def boundary_edges(pixels: DataFrame, by: list[str] = ()) -> DataFrame:

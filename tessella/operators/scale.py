@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.functions.stats import average_rank, clip, correlation, quantile
+from tessella.functions.stats import average_rank, clip, correlation, hashed, quantile
 
 
 def _grid(long: DataFrame, gene: str = "gene", scale: str = "scale") -> DataFrame:
@@ -20,6 +20,55 @@ def fill_worst(long: DataFrame) -> DataFrame:
     return _grid(long).join(long.select("gene", "scale", "rank"), ["gene", "scale"], "left").crossJoin(F.broadcast(worst)).select("gene", "scale", F.coalesce("rank", "_w").alias("rank"), F.col("rank").isNull().alias("filled"))
 
 
+def fill_for_plot(long: DataFrame, mode: str | float | None = "worst") -> DataFrame:
+    """Missing ranks for drawing: ``worst`` of their scale plus one, ``global_worst``, a number, or as they are (``keep``).  A scale without any rank stays empty."""
+    if mode is None or (isinstance(mode, str) and mode.strip().lower() in ("", "none", "nan", "keep", "raw")):
+        return long.select("gene", "scale", "rank")
+    full = _grid(long).join(long.select("gene", "scale", "rank"), ["gene", "scale"], "left")
+    if isinstance(mode, str) and mode.strip().lower() in ("global_worst", "table_worst"):
+        return fill_worst(long).select("gene", "scale", "rank")
+    if isinstance(mode, str) and mode.strip().lower() in ("worst", "scale_worst", "per_scale_worst", "column_worst"):
+        fill = F.max("rank").over(W.partitionBy("scale")) + 1
+    else:
+        fill = F.lit(float(mode))
+    return full.select("gene", "scale", F.coalesce("rank", fill).alias("rank"))
+
+
+def find_column(columns: list[str], scale: str, prefixes: tuple[str, ...] = ("rank_",)) -> str | None:
+    """The column of a wide table that belongs to a scale: its id as it is, with a prefix, or with ``r`` or ``res_`` added or taken away."""
+    bare = scale.removeprefix("res_").removeprefix("r") if scale.startswith("res_") else scale.removeprefix("r")
+    forms = [scale, bare, f"r{bare}", f"res_{bare}"]
+    for name in [scale, *[p + scale for p in prefixes], *forms[1:], *[p + f for p in prefixes for f in forms[1:]]]:
+        if name in columns:
+            return name
+    return None
+
+
+def wide_to_long(wide: DataFrame, scales: list[str], prefixes: tuple[str, ...] = ("rank_",), key: str = "gene", value: str = "rank") -> DataFrame:
+    """Long rows ``gene, scale, rank`` of those scales whose column the table has; nulls go."""
+    found = {s: c for s in scales if (c := find_column(wide.columns, s, prefixes))}
+    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("scale"), F.col(f"`{c}`").alias(value)) for s, c in found.items()])).alias("_r")
+    return wide.select(key, rows).select(key, "_r.scale", f"_r.{value}").where(F.col(value).isNotNull())
+
+
+def call_scale_specific(long: DataFrame, top: int, groups: int = 3, overrides: dict[float, str] | None = None, good: float = 0.3, min_groups: int = 2, gap: float = 0.1) -> DataFrame:
+    """From ranks with gaps (``gene, scale, rank, score``) to calls: missing ranks imputed, scales grouped by the overlap of
+    their top genes, single scales moved to other groups where ``overrides`` says so, and every gene called for its best group.
+
+    Scales are few: their overlaps are all that reaches the driver.
+    """
+    from tessella.sources.storage import cut
+
+    x = cut(impute(long), "imputed")
+    d = jaccard(cut(top_sets(x, top), "tops")).collect()
+    named = {float(s): g for s, g in cluster_scales([(r.a, r.b, 1 - r.jaccard) for r in d], groups).items()} | {float(s): g for s, g in (overrides or {}).items()}
+    order = list(dict.fromkeys(named[s] for s in sorted(named)))
+    grp = F.create_map(*[F.lit(v) for s, g in named.items() for v in (s, g)])[F.col("scale").cast("double")]
+    n = x.agg(F.count_distinct("gene").alias("n"))
+    y = x.crossJoin(F.broadcast(n)).withColumn("grp", grp).withColumn("sample", F.lit("all"))
+    return svg_calls(y, good, min_groups, gap, order).drop("sample")
+
+
 def impute(long: DataFrame) -> DataFrame:
     """Missing ranks become the number of genes; missing scores their scale's minimum (0 if there is none)."""
     n = long.agg(F.count_distinct("gene").alias("_n"))
@@ -150,19 +199,25 @@ def continuous_specificity(long: DataFrame, n_perm: int = 99, seed: int = 0) ->
     x = long.withColumn("p", preference(F.col("rank"), ["scale"])).withColumn("l", F.log2(F.col("scale").cast("double")))
 
     def stats(df: DataFrame, keys: list[str], p: str) -> DataFrame:
-        total = F.sum(p)
-        mean = F.try_divide(F.sum(F.col(p) * F.col("l")), total)
-        var = F.try_divide(F.sum(F.col(p) * F.col("l") * F.col("l")), total) - mean * mean
-        s = df.groupBy(*keys).agg(mean.alias("centre"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("breadth"), (F.max(p) - F.avg(p)).alias("prominence"))
-        return s.withColumn("specificity", F.col("prominence") / (F.col("breadth") + 1e-6))
+        # a gene's scales in order: sums are the same in every run
+        one = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("l", F.col(p).alias("p")))).alias("_a"))
+
+        def total(of) -> Column:
+            return F.aggregate("_a", F.lit(0.0), lambda acc, e: acc + of(e))
+
+        one = one.withColumn("_w", total(lambda e: e["p"])).withColumn("centre", F.try_divide(total(lambda e: e["p"] * e["l"]), F.col("_w")))
+        var = F.try_divide(total(lambda e: e["p"] * (e["l"] - F.col("centre")) * (e["l"] - F.col("centre"))), F.col("_w"))
+        ps = F.transform("_a", lambda e: e["p"])
+        one = one.withColumn("breadth", F.sqrt(F.greatest(var, F.lit(0.0)))).withColumn("prominence", F.array_max(ps) - F.col("_w") / F.size("_a"))
+        return one.withColumn("specificity", F.col("prominence") / (F.col("breadth") + 1e-6)).drop("_a", "_w")
 
     own = stats(x, ["gene"], "p")
     perms = x.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
     key = W.partitionBy("gene", "perm")
     a = perms.withColumn("_a", F.row_number().over(key.orderBy("scale")))
-    b = perms.withColumn("_a", F.row_number().over(key.orderBy(F.xxhash64(F.lit(seed), "perm", "gene", "scale")))).select("gene", "perm", "_a", F.col("p").alias("q"))
+    b = perms.withColumn("_a", F.row_number().over(key.orderBy(hashed(seed, "perm", "gene", "scale")))).select("gene", "perm", "_a", F.col("p").alias("q"))
     null = stats(a.join(b, ["gene", "perm", "_a"]), ["gene", "perm"], "q").select("gene", F.col("specificity").alias("null"))
-    p = null.join(own.select("gene", "specificity"), "gene").groupBy("gene").agg(((F.count(F.when(F.col("null") >= F.col("specificity"), 1)) + 1) / (n_perm + 1)).alias("pvalue"))
+    p = null.join(own.select("gene", "specificity"), "gene").groupBy("gene").agg(((F.count(F.when(F.col("null") >= F.col("specificity") * (1 - 1e-6), 1)) + 1) / (n_perm + 1)).alias("pvalue"))
     return own.join(p, "gene")
 
 

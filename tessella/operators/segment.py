@@ -90,12 +90,12 @@ def compactness_scores(m: DataFrame) -> DataFrame:
     return x.drop(*[f"_{n}_{c}" for c in cols for n in ("lo", "hi")])
 
 
-def select_compactness(scored: DataFrame, schedule: float, slack: float = 0.1, floor: float = 0.01) -> DataFrame:
-    """Candidates near the best score (by ``slack`` of the range, at least ``floor``) with penalties 0.02 quadratic towards the ends and 0.03 |ln(c / schedule)|; the selected one is flagged, ties go to the one nearest the schedule."""
+def select_compactness(scored: DataFrame, schedule: float | None, slack: float = 0.1, floor: float = 0.01) -> DataFrame:
+    """Candidates near the best score (by ``slack`` of the range, at least ``floor``) with penalties 0.02 quadratic towards the ends and 0.03 |ln(c / schedule)|; the selected one is flagged, ties go to the one nearest the schedule.  Without a schedule there is no such penalty."""
     ends = scored.agg(F.min("score").alias("_b"), F.max("score").alias("_w"), F.min("compactness").alias("_lo"), F.max("compactness").alias("_hi"))
     x = scored.crossJoin(F.broadcast(ends))
     at = (F.col("compactness") - F.col("_lo")) / F.when(F.col("_hi") == F.col("_lo"), 1.0).otherwise(F.col("_hi") - F.col("_lo"))
-    away = F.abs(F.log(F.col("compactness") / schedule))
+    away = F.lit(0.0) if schedule is None else F.abs(F.log(F.col("compactness") / schedule))
     x = x.withColumn("near", F.col("score") <= F.col("_b") + F.greatest(F.lit(floor), slack * (F.col("_w") - F.col("_b"))))
     x = x.withColumn("penalised", F.col("score") + 0.02 * F.pow(2 * at - 1, 2.0) + 0.03 * away).withColumn("away", away)
     best = x.where("near").agg(F.min_by("compactness", F.struct("penalised", "away", "compactness")).alias("_c"))
@@ -164,5 +164,22 @@ def medoid(members: DataFrame, key: str = "seg") -> DataFrame:
     return members.withColumn("_d", d).groupBy(key).agg(F.min_by("obs_id", F.struct("_d", "obs_id")).alias("medoid"))
 
 
+def labels_to_obs(tiles: DataFrame, obs: DataFrame, how: str, label: str = "label") -> DataFrame:
+    """``obs_id, label`` for every observation, -1 without a tile.
+
+    ``identity``: the tile's number is the observation's; ``index``: the tile names it in ``obs_id``; ``majority``: several tiles
+    of an observation vote (ties: by origin tiles, then the smallest label; negative labels do not vote).
+    """
+    if how == "identity":
+        got = tiles.select(F.col("tile").alias("obs_id"), label)
+    elif how == "index":
+        got = tiles.select("obs_id", label)
+    elif how == "majority":
+        got = majority(tiles.where(F.col(label) >= 0), "obs_id", label).select("obs_id", label)
+    else:
+        raise ValueError(f"unknown way {how!r}")
+    return obs.select("obs_id").join(got, "obs_id", "left").select("obs_id", F.coalesce(label, F.lit(-1)).cast("long").alias(label))
+
+
 def concat_labels(df: DataFrame, library: str, seg: str) -> Column:
     return F.concat_ws("_", F.col(library).cast("string"), F.col(seg).cast("string"))

@@ -257,7 +257,22 @@ def j23_guided(spark, sf):
     return graph.guided(_values(spark, sf), _directed(spark, sf), 1e6).select("obs_id", F.round("value", 4).alias("value"))
 
 
-@query(None)
+def _heat_sql(t: float, tail: float) -> str:
+    """The same terms, each as a table."""
+    import math
+
+    k, term, left = 0, math.exp(-t), 1 - math.exp(-t)
+    out, total = _DIRECTED + ", p AS (SELECT src, dst, 1.0::DOUBLE / COUNT(*) OVER (PARTITION BY src) AS p FROM dir), h0 AS (SELECT obs_id, value AS v FROM val)", f"SELECT obs_id, v * {term!r}::DOUBLE AS v FROM h0"
+    while left > tail or k < t:
+        k += 1
+        term *= t / k
+        left -= term
+        out += f", h{k} AS (SELECT src AS obs_id, SUM(p * v) AS v FROM p JOIN h{k - 1} ON obs_id = dst GROUP BY 1)"
+        total += f" UNION ALL SELECT obs_id, v * {term!r}::DOUBLE FROM h{k}"
+    return out + f" SELECT obs_id, round(SUM(v), 5) AS value FROM ({total}) GROUP BY 1"
+
+
+@query(_heat_sql(0.5, 1e-6))
 def j24_heat_kernel(spark, sf):
     return graph.heat(_values(spark, sf), _directed(spark, sf).withColumn("weight", F.lit(1.0)), 0.5, 1e-6).select("obs_id", F.round("value", 5).alias("value"))
 
@@ -358,12 +373,22 @@ def f11_hybrid_selector(spark, sf):
     return scale.hybrid_selector(imputed(spark, sf), _region(), 0.4).select("gene", "region", F.round("score", 6).alias("score"))
 
 
-@query(None)
+@query(_IMP + """, q AS (SELECT gene, scale, log2(scale::DOUBLE) AS l, CASE WHEN max(rank) OVER w > 1 THEN 1 - (rank - 1)::DOUBLE / (max(rank) OVER w - 1) ELSE 1 END AS p FROM long WINDOW w AS (PARTITION BY scale)),
+ce AS (SELECT gene, SUM(p * l) / nullif(SUM(p), 0) AS c FROM q GROUP BY 1),
+own AS (SELECT gene, any_value(c) AS centre, sqrt(greatest(SUM(p * (l - c) * (l - c)) / nullif(SUM(p), 0), 0)) AS breadth, max(p) - AVG(p) AS prominence FROM q JOIN ce USING (gene) GROUP BY 1),
+pa AS (SELECT q.*, perm, row_number() OVER (PARTITION BY gene, perm ORDER BY scale) AS a, row_number() OVER (PARTITION BY gene, perm ORDER BY md5('0|' || perm || '|' || gene || '|' || scale)) AS b FROM q CROSS JOIN (SELECT unnest(range(1, 100)) AS perm)),
+sh AS (SELECT x.gene, x.perm, x.l, y.p FROM pa x JOIN pa y ON y.gene = x.gene AND y.perm = x.perm AND y.b = x.a),
+sc2 AS (SELECT gene, perm, SUM(p * l) / nullif(SUM(p), 0) AS c FROM sh GROUP BY 1, 2),
+nu AS (SELECT gene, perm, (max(p) - AVG(p)) / (sqrt(greatest(SUM(p * (l - c) * (l - c)) / nullif(SUM(p), 0), 0)) + 1e-6) AS s FROM sh JOIN sc2 USING (gene, perm) GROUP BY 1, 2),
+pv AS (SELECT gene, any_value(centre) AS centre, any_value(breadth) AS breadth, any_value(prominence) AS prominence, any_value(prominence / (breadth + 1e-6)) AS specificity, (COUNT(*) FILTER (WHERE s >= prominence / (breadth + 1e-6) * (1 - 1e-6)) + 1) / 100.0::DOUBLE AS pvalue FROM own JOIN nu USING (gene) GROUP BY 1),
+bh AS (SELECT *, pvalue * COUNT(*) OVER () / row_number() OVER (ORDER BY pvalue, gene) AS raw FROM pv)
+SELECT gene, round(centre, 6) AS centre, round(breadth, 6) AS breadth, round(prominence, 6) AS prominence, CASE WHEN specificity < 1000 THEN round(specificity, 4) ELSE round(specificity, 0) END AS specificity, round(pvalue, 6) AS pvalue, round(least(min(raw) OVER (ORDER BY pvalue, gene ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS qvalue FROM bh""")
 def f16_continuous_specificity(spark, sf):
     from tessella.functions.stats import benjamini_hochberg
 
-    c = scale.continuous_specificity(imputed(spark, sf), 99)
-    return benjamini_hochberg(c, "pvalue", "qvalue", [], ["gene"])
+    c = benjamini_hochberg(scale.continuous_specificity(imputed(spark, sf), 99), "pvalue", "qvalue", [], ["gene"])
+    sharp = F.when(F.col("specificity") < 1000, F.round("specificity", 4)).otherwise(F.round("specificity", 0))  # a breadth of 0 or nearly so
+    return c.select("gene", sharp.alias("specificity"), *[F.round(k, 6).alias(k) for k in ("centre", "breadth", "prominence", "pvalue", "qvalue")])
 
 
 @query(_IMP + """SELECT gene, round(AVG(rank), 6) AS mean, median(rank)::DOUBLE AS median, min(rank) AS best, max(rank) AS worst, round(stddev_pop(rank), 6) AS std,
@@ -455,10 +480,10 @@ def d8_nearest_neighbours(spark, sf):
     return spatial.nearest(p, p, 3, 3.0, keep_self=False).select("id", "other", F.round("dist", 6).alias("dist"), F.col("place").cast("long").alias("place"))
 
 
-@query(_PTS + ", q AS (SELECT obs_id, x + 0.3 AS x, y + 0.4 AS y FROM pt WHERE obs_id % 7 = 0), n AS (SELECT q.obs_id AS id, p.obs_id AS other, sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) AS d FROM q CROSS JOIN pt p) SELECT id, other, round(d, 6) AS dist FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, other) = 1")
+@query(_PTS + ", q AS (SELECT obs_id, x + 0.3 AS x, y + 0.4 AS y FROM pt), n AS (SELECT q.obs_id AS id, p.obs_id AS other, sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) AS d FROM q CROSS JOIN pt p) SELECT id, other, round(d, 6) AS dist FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, other) = 1")
 def d9_nearest_barcode(spark, sf):
     p = cut(_points(spark, sf), "points")
-    q = p.where("obs_id % 7 = 0").withColumn("x", F.col("x") + 0.3).withColumn("y", F.col("y") + 0.4)
+    q = p.withColumn("x", F.col("x") + 0.3).withColumn("y", F.col("y") + 0.4)
     return spatial.nearest(q, p, 1, 3.0).select("id", "other", F.round("dist", 6).alias("dist"))
 
 

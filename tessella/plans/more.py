@@ -13,7 +13,7 @@ from tessella.sources.storage import cut
 from . import views as V
 from .core import _DIRECTED, _IMP, MORAN, _directed, _values, imputed, multiscale_moran_ranks
 from .registry import query
-from .summaries import _GAIN, _VAL, _val, all_gains, rounded
+from .summaries import _EFF, _GAIN, _VAL, EDGE_COLUMNS, _val, all_gains, block_sql, boot_sql, control_sql, edge_sql, rounded
 
 
 @query("SELECT obs_id, x::DOUBLE AS x, y::DOUBLE AS y FROM obs WHERE obs_id % 10 <> 0")
@@ -44,12 +44,12 @@ def b37_d17_label_mapping(spark, sf):
     return x.groupBy("gene", F.coalesce("label", F.lit("other")).alias("label")).agg(F.sum("rank").alias("rank"))
 
 
-@query(", t AS (SELECT obs_id % 700 AS barcode, x, y, CASE WHEN obs_id % 13 <> 0 THEN bal END AS v FROM obs), e AS (SELECT obs_id AS barcode, batch AS d FROM obs WHERE obs_id < 900) SELECT barcode, x, y, v, d FROM t RIGHT JOIN e USING (barcode) WHERE x IS NOT NULL AND v IS NOT NULL")
+@query(", t AS (SELECT obs_id % 700 AS barcode, x, y, CASE WHEN obs_id % 13 <> 0 THEN bal END AS v FROM obs), e AS (SELECT obs_id AS barcode, batch AS d FROM obs) SELECT barcode, x, y, v, d FROM t RIGHT JOIN e USING (barcode) WHERE x IS NOT NULL AND v IS NOT NULL")
 def d1_tiles_embedding(spark, sf):
     """Right outer join, then only complete rows."""
     o = V.obs(spark, sf)
     t = o.select((F.col("obs_id") % 700).alias("barcode"), "x", "y", F.when(F.col("obs_id") % 13 != 0, F.col("bal")).alias("v"))
-    e = o.where("obs_id < 900").select(F.col("obs_id").alias("barcode"), F.col("batch").alias("d"))
+    e = o.select(F.col("obs_id").alias("barcode"), F.col("batch").alias("d"))
     return t.join(e, "barcode", "right").dropna()
 
 
@@ -139,7 +139,19 @@ def j9_non_negative_factors(spark, sf):
     return embed.non_negative(V.expr(spark, sf), 3)
 
 
-@query(None)
+_UNIT = ", one AS (SELECT obs_id, round(bal / 7, 0) AS value FROM obs), u0 AS (SELECT obs_id, (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS value FROM one)"
+_CAND = ", u1 AS (SELECT obs_id, (bal - min(bal) OVER ()) / (max(bal) OVER () - min(bal) OVER ()) AS value FROM obs), dir AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)"
+
+
+def _smoothed(name: str, sigma: float) -> str:
+    w = f"exp(-1 / (2 * {sigma}::DOUBLE * {sigma}::DOUBLE))"
+    return f", {name} AS (SELECT obs_id, SUM(value * w) / SUM(w) AS value FROM (SELECT obs_id, value, 1.0::DOUBLE AS w FROM u1 UNION ALL SELECT src, value, {w} FROM dir JOIN u1 ON obs_id = dst) GROUP BY 1)"
+
+
+_SWEEP = _CAND + "".join(_smoothed(f"g{i}", s) + edge_sql("u1", f"g{i}", f"e{i}") for i, s in enumerate((0.5, 1.0, 2.0)))
+
+
+@query(_SWEEP + ", sw AS (" + " UNION ALL ".join(f"SELECT *, {s}::DOUBLE AS sigma FROM e{i}" for i, s in enumerate((0.5, 1.0, 2.0))) + ") SELECT " + EDGE_COLUMNS + ", sigma, row_number() OVER (ORDER BY structure DESC, sigma) = 1 AS selected FROM sw")
 def j26_g6_smoothing_sweep(spark, sf):
     """Candidates of the Gaussian smoother with their edge scores; the best one flagged."""
     v, e = cut(_values(spark, sf).withColumn("value", ST.minmax("value", ["dim"])), "values"), cut(_directed(spark, sf), "edges")
@@ -148,10 +160,19 @@ def j26_g6_smoothing_sweep(spark, sf):
         one = equalize.edge_scores(v, graph.smooth(v, e, sigma), V.edges(spark, sf)).withColumn("sigma", F.lit(sigma))
         out = one if out is None else out.unionByName(one)
     best = F.row_number().over(W.orderBy(F.desc("structure"), "sigma")) == 1  # a row for each candidate
-    return out.withColumn("selected", best)
+    return rounded(out.withColumn("selected", best))
 
 
-@query(None)
+_SCALED = "(v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ())"
+_KINDS = {
+    "balance": f"SELECT obs_id, {_SCALED} AS value FROM (SELECT obs_id, least(greatest(value, lo), hi) AS v FROM one CROSS JOIN (SELECT quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM one))",
+    "ecdf": "SELECT obs_id, cume_dist() OVER (ORDER BY value) AS value FROM one",
+    "histogram": "SELECT obs_id, cume_dist() OVER (ORDER BY b) AS value FROM (SELECT obs_id, least(floor((value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) * 256), 255) AS b FROM one)",
+    "perceptual": f"SELECT obs_id, {_SCALED} AS value FROM (SELECT obs_id, z / (1 + 0.5 * abs(z)) AS v FROM (SELECT obs_id, (value - AVG(value) OVER ()) / stddev_pop(value) OVER () AS z FROM one))",
+}
+
+
+@query(_UNIT + "".join(f", {k} AS ({s})" + edge_sql("u0", k, f"e_{k}") for k, s in _KINDS.items()) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT {EDGE_COLUMNS}, '{k}' AS method FROM e_{k}" for k in _KINDS) + ")")
 def j27_equalisation_sweep(spark, sf):
     v = cut(_val(spark, sf).withColumn("dim", F.lit(0)), "values")
     before = v.withColumn("value", ST.minmax("value", ["dim"]))
@@ -160,7 +181,7 @@ def j27_equalisation_sweep(spark, sf):
     for name, after in kinds.items():
         one = equalize.edge_scores(before, after, V.edges(spark, sf)).withColumn("method", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    return out
+    return rounded(out)
 
 
 @query(_DIRECTED + ", c AS (SELECT obs_id, x // 3 AS i, y // 3 AS j FROM obs), b AS (SELECT i, j, AVG(value) AS v FROM c JOIN val USING (obs_id) GROUP BY 1, 2), s AS (SELECT a.i, a.j, AVG(b.v) AS v FROM b a JOIN b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY 1, 2) SELECT obs_id, round(v, 6) AS value FROM c JOIN s USING (i, j)")
@@ -174,7 +195,12 @@ def j25_coarse_smooth(spark, sf):
     return o.join(smooth, ["i", "j"]).select("obs_id", F.round("v", 6).alias("value"))
 
 
-@query(None)
+@query(
+    _EFF
+    + control_sql("Brand#2%", 200, 3, "AVG")
+    + """, fc AS (SELECT gene, log2((mean_in + 1e-9) / (mean_out + 1e-9)) AS fc FROM eff WHERE celltype = 'BUILDING'), ob AS (SELECT AVG(fc) AS observed FROM fc WHERE gene LIKE 'Brand#2%'), nu AS (SELECT control, AVG(fc) AS v FROM controls JOIN fc USING (gene) GROUP BY 1)
+SELECT round(any_value(observed), 6) AS observed, round((COUNT(*) FILTER (WHERE v >= observed) + 1) / (COUNT(*) + 1), 6) AS p_right, round((COUNT(*) FILTER (WHERE v <= observed) + 1) / (COUNT(*) + 1), 6) AS p_left, round((any_value(observed) - AVG(v)) / stddev_pop(v), 5) AS z FROM nu CROSS JOIN ob"""
+)
 def k5_k9_gene_set_test(spark, sf):
     """A gene set's mean group effect against expression-matched random sets: empirical p and z."""
     x, o = cut(V.expr(spark, sf), "expr"), V.obs(spark, sf)
@@ -183,10 +209,16 @@ def k5_k9_gene_set_test(spark, sf):
     panel = m.where("gene like 'Brand#2%'").select("gene")
     seen = eff.join(panel, "gene", "left_semi").agg(F.avg("log2_fc").alias("observed"))
     null = enrich.matched_controls(m, panel, 200, 3).join(eff, "gene").groupBy("control").agg(F.avg("log2_fc").alias("v")).crossJoin(F.broadcast(seen))
-    return null.agg(F.first("observed").alias("observed"), ((F.count_if(F.col("v") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_right"), ((F.count_if(F.col("v") <= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_left"), F.try_divide(F.first("observed") - F.avg("v"), F.stddev_pop("v")).alias("z"))
+    out = null.agg(F.first("observed").alias("observed"), ((F.count_if(F.col("v") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_right"), ((F.count_if(F.col("v") <= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_left"), F.round(F.try_divide(F.first("observed") - F.avg("v"), F.stddev_pop("v")), 5).alias("z"))
+    return rounded(out)
 
 
-@query(None)
+@query(
+    boot_sql("COUNT(*) FILTER (WHERE value > 0)", 100)
+    + control_sql("Brand#1%", 50, 2, "COUNT")
+    + """, cv AS (SELECT control, AVG(g.score) AS v FROM controls JOIN g USING (gene) GROUP BY 1), cs AS (SELECT AVG(v) AS control, stddev_pop(v) AS control_sd FROM cv)
+SELECT panel, round(mean, 6) AS mean, n, round(lo, 6) AS lo, round(hi, 6) AS hi, round(control, 6) AS control, round(control_sd, 6) AS control_sd, (mean > control)::INT + (lo > control)::INT + (mean > control + control_sd)::INT AS evidence FROM booted CROSS JOIN cs"""
+)
 def k10_d19_evidence(spark, sf):
     """Observed panel means joined with their bootstrap and matched controls, and how many of three checks hold."""
     o = V.obs(spark, sf)
@@ -197,7 +229,7 @@ def k10_d19_evidence(spark, sf):
     control = c.agg(F.avg("v").alias("control"), F.stddev_pop("v").alias("control_sd"))
     x = boot.crossJoin(F.broadcast(control))
     flags = (F.col("mean") > F.col("control")).cast("int") + (F.col("lo") > F.col("control")).cast("int") + (F.col("mean") > F.col("control") + F.col("control_sd")).cast("int")
-    return x.withColumn("evidence", flags)
+    return rounded(x.withColumn("evidence", flags))
 
 
 @query(", k AS (SELECT batch % 3 AS lib, obs_id, (x // 8) AS seg FROM obs) SELECT lib || '_' || seg AS label, COUNT(*) AS n FROM k GROUP BY 1")
@@ -220,9 +252,9 @@ def b10_gamma(spark, sf):
     return v.crossJoin(F.broadcast(m)).select("obs_id", F.round(S.gamma(F.abs(F.col("value") / F.col("m")), 0.8), 9).alias("g"), F.round(F.signum(F.col("value") / F.col("m")), 1).alias("s"))
 
 
-@query(None)
+@query(block_sql(50, "median(value) FILTER (WHERE label = 1) - median(value) FILTER (WHERE label = 0)"))
 def k11_m1_custom_statistic(spark, sf):
     """A statistic of the caller's: the difference of medians."""
     v = V.obs(spark, sf).select("obs_id", F.col("bal").alias("value"), (F.col("celltype") == "BUILDING").cast("int").alias("label"), F.col("batch").alias("block"))
     stat = F.median(F.when(F.col("label") == 1, F.col("value"))) - F.median(F.when(F.col("label") == 0, F.col("value")))
-    return enrich.block_permutation(v, 50, statistic=stat)
+    return rounded(enrich.block_permutation(v, 50, statistic=stat), 5)

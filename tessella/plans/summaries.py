@@ -227,6 +227,12 @@ def k2_group_effects(spark, sf):
     return rounded(e.select("gene", "celltype", "mean_in", "mean_out", "pct_diff", "log2_fc"))
 
 
+def tail_sql(z: str) -> str:
+    """Upper tail of the normal distribution by its series, to ten decimals."""
+    terms = f"list_sum(list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))"
+    return f"CASE WHEN {z} > 8 THEN 0 WHEN {z} < -8 THEN 1 ELSE 0.5 - sign({z}) * exp(-({z}) * ({z}) / 2) * 0.3989422804014327 * {terms} END"
+
+
 _MWU = _SZ + """, al AS (SELECT g.gene, o.obs_id, o.celltype, coalesce(value, 0) AS v FROM obs o CROSS JOIN (SELECT DISTINCT gene FROM expr) g LEFT JOIN expr e ON e.obs_id = o.obs_id AND e.gene = g.gene),
 rk AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY v) + (COUNT(*) OVER (PARTITION BY gene, v) - 1) / 2.0 AS r FROM al),
 ti AS (SELECT gene, SUM(t * t * t - t) AS tie FROM (SELECT gene, v, COUNT(*)::DOUBLE AS t FROM al GROUP BY 1, 2) GROUP BY 1),
@@ -240,11 +246,17 @@ def k1_mann_whitney(spark, sf):
     return m.select("gene", "celltype", F.round("u", 4).alias("u"), F.round("z", 6).alias("z"))
 
 
-@query(None)
+@query(
+    _EFF
+    + _MWU.removeprefix(_SZ).replace("SELECT gene, celltype, round(u, 4) AS u, round(", ", zz AS (SELECT gene, celltype, (").replace(", 6) AS z FROM u JOIN ti USING (gene)", ") AS z FROM u JOIN ti USING (gene))")
+    + f""", pv AS (SELECT gene, celltype, {tail_sql("z")} AS p FROM zz), rw AS (SELECT *, p * COUNT(*) OVER (PARTITION BY gene) / row_number() OVER (PARTITION BY gene ORDER BY p, celltype) AS raw FROM pv),
+qv AS (SELECT *, least(min(raw) OVER (PARTITION BY gene ORDER BY p, celltype ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS q FROM rw),
+en AS (SELECT qv.*, q <= 0.05 AND mean_in - mean_out > 0 AS enriched FROM qv JOIN eff USING (gene, celltype)), k AS (SELECT *, SUM(enriched::INT) OVER (PARTITION BY gene) AS k, COUNT(*) OVER (PARTITION BY gene) AS n FROM en)
+SELECT gene, celltype, round(p, 8) AS pvalue, round(q, 8) AS qvalue, enriched, CASE WHEN k = 0 THEN 'none' WHEN k = 1 THEN 'single' WHEN k = n THEN 'pan' ELSE 'multi' END AS class FROM k"""
+)
 def k2_enrichment_classes(spark, sf):
-    """p-values need the normal tail, which DuckDB lacks; tests check it against erfc."""
     x, o = cut(V.expr(spark, sf), "expr"), V.obs(spark, sf)
-    return enrich.classify(enrich.effects(x, o), enrich.mann_whitney(x, o)).select("gene", "celltype", "pvalue", "qvalue", "enriched", "class")
+    return rounded(enrich.classify(enrich.effects(x, o), enrich.mann_whitney(x, o)).select("gene", "celltype", "pvalue", "qvalue", "enriched", "class"), 8)
 
 
 def _z(c: str) -> str:
@@ -259,15 +271,28 @@ def k3_specificity(spark, sf):
     return rounded(enrich.specificity(enrich.effects(V.expr(spark, sf), V.obs(spark, sf))), 5)
 
 
-@query(None)
+@query(""", ni AS (SELECT COUNT(*) AS n FROM obs WHERE celltype = 'BUILDING'), pm AS (SELECT perm, obs_id, row_number() OVER (PARTITION BY perm ORDER BY ('0x' || substr(md5('0|' || perm || '|' || obs_id), 1, 15))::BIGINT, obs_id) AS k FROM obs CROSS JOIN (SELECT unnest(range(1, 51)) AS perm)),
+al AS (SELECT perm, obs_id FROM pm CROSS JOIN ni WHERE k <= n UNION ALL SELECT 0, obs_id FROM obs WHERE celltype = 'BUILDING'),
+s AS (SELECT gene, perm, SUM(value) / any_value(n) AS m FROM al JOIN expr USING (obs_id) CROSS JOIN ni GROUP BY 1, 2),
+f AS (SELECT g.gene, p.perm, coalesce(m, 0) AS m FROM (SELECT DISTINCT gene FROM expr) g CROSS JOIN (SELECT unnest(range(0, 51)) AS perm) p LEFT JOIN s ON s.gene = g.gene AND s.perm = p.perm),
+o AS (SELECT gene, m AS observed FROM f WHERE perm = 0)
+SELECT gene, round(any_value(observed), 6) AS observed, round((COUNT(*) FILTER (WHERE m >= observed - 1e-12) + 1) / 51.0::DOUBLE, 6) AS pvalue, round((any_value(observed) - AVG(m)) / stddev_pop(m), 5) AS z FROM f JOIN o USING (gene) WHERE perm > 0 GROUP BY gene""")
 def k4_permutation_enrichment(spark, sf):
-    return enrich.permutation(cut(V.expr(spark, sf), "expr"), V.obs(spark, sf).select("obs_id", "celltype"), "BUILDING", 50)
+    p = enrich.permutation(cut(V.expr(spark, sf), "expr"), V.obs(spark, sf).select("obs_id", "celltype"), "BUILDING", 50)
+    return p.select("gene", F.round("observed", 6).alias("observed"), F.round("pvalue", 6).alias("pvalue"), F.round("z", 5).alias("z"))
 
 
-@query(None)
+def block_sql(n: int, statistic: str) -> str:
+    """Labels shuffled within blocks by the same hashes."""
+    return f""", v AS (SELECT obs_id, bal AS value, (celltype = 'BUILDING')::INT AS label, batch AS block FROM obs), pm AS (SELECT v.*, perm, row_number() OVER (PARTITION BY perm, block ORDER BY obs_id) AS a, row_number() OVER (PARTITION BY perm, block ORDER BY md5('0|' || perm || '|' || obs_id), obs_id) AS b FROM v CROSS JOIN (SELECT unnest(range(1, {n + 1})) AS perm)),
+sh AS (SELECT x.perm, x.value, y.label FROM pm x JOIN pm y ON y.perm = x.perm AND y.block = x.block AND y.b = x.a), nu AS (SELECT perm, {statistic} AS s FROM sh GROUP BY 1), ob AS (SELECT {statistic} AS o FROM v)
+SELECT round(any_value(o), 5) AS observed, round(AVG((abs(s) >= abs(o) - 1e-12)::INT), 5) AS pvalue, round((any_value(o) - AVG(s)) / stddev_pop(s), 5) AS z FROM nu CROSS JOIN ob"""
+
+
+@query(block_sql(100, "AVG(value) FILTER (WHERE label = 1) - AVG(value) FILTER (WHERE label = 0)"))
 def k11_block_permutation(spark, sf):
     v = V.obs(spark, sf).select("obs_id", F.col("bal").alias("value"), (F.col("celltype") == "BUILDING").cast("int").alias("label"), F.col("batch").alias("block"))
-    return enrich.block_permutation(v, 100)
+    return rounded(enrich.block_permutation(v, 100), 5)
 
 
 @query(""", p AS (SELECT gene, substr(gene, 1, 7) AS grp, (1 + ('0x' || substr(md5(gene), 1, 6))::INT) / 16777217.0::DOUBLE AS p FROM (SELECT DISTINCT gene FROM expr))
@@ -308,16 +333,31 @@ def a12_over_representation(spark, sf):
     return o.select("grp", "database", "term", "overlap", "genes", F.round("expected", 6).alias("expected"))
 
 
-@query(None)
+def boot_sql(score: str, n: int) -> str:
+    """``g`` (panel, gene, score ...) and ``booted``: panel, mean, n, lo, hi over the same hashed resamples."""
+    return f""", g AS (SELECT *, row_number() OVER (PARTITION BY panel ORDER BY gene) - 1 AS k, COUNT(*) OVER (PARTITION BY panel) AS n FROM (SELECT gene, substr(gene, 1, 7) AS panel, {score}::DOUBLE / (SELECT COUNT(*) FROM obs) AS score FROM expr GROUP BY 1)),
+dr AS (SELECT panel, boot, ('0x' || substr(md5('0|' || panel || '|' || boot || '|' || k), 1, 12))::BIGINT % n AS k FROM g CROSS JOIN (SELECT unnest(range(1, {n + 1})) AS boot)),
+bm AS (SELECT panel, boot, AVG(score) AS m FROM dr JOIN g USING (panel, k) GROUP BY 1, 2), ci AS (SELECT panel, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm GROUP BY 1),
+booted AS (SELECT panel, AVG(score) AS mean, COUNT(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM g JOIN ci USING (panel) GROUP BY 1)"""
+
+
+def control_sql(panel: str, sets: int, bins: int, tag: str) -> str:
+    """``controls``: control, bin, gene in the same hashed order."""
+    return f""", cm AS (SELECT gene, SUM(value) / (SELECT COUNT(*) FROM obs) AS mean FROM expr GROUP BY 1), cr AS (SELECT gene, least(floor((rank() OVER (ORDER BY mean) + (COUNT(*) OVER (PARTITION BY mean) - 1) / 2.0) / COUNT(*) OVER () * {bins}), {bins - 1})::INT AS bin FROM cm),
+need AS (SELECT bin, COUNT(*) AS need FROM cr WHERE gene LIKE '{panel}' GROUP BY 1), po AS (SELECT gene, bin, control, row_number() OVER (PARTITION BY control, bin ORDER BY md5('0|' || control || '|' || gene), gene) AS k FROM cr CROSS JOIN (SELECT unnest(range(1, {sets + 1})) AS control) WHERE gene NOT LIKE '{panel}'),
+controls AS (SELECT control, bin, gene FROM po JOIN need USING (bin) WHERE k <= need)"""
+
+
+@query(boot_sql("SUM(value)", 200) + " SELECT panel, round(mean, 6) AS mean, n, round(lo, 6) AS lo, round(hi, 6) AS hi FROM booted")
 def k8_bootstrap(spark, sf):
     m = matrix.gene_moments(V.expr(spark, sf), V.obs(spark, sf).count())
-    return enrich.bootstrap(m.select(F.substring("gene", 1, 7).alias("panel"), "gene", F.col("mean").alias("score")), 200)
+    return rounded(enrich.bootstrap(m.select(F.substring("gene", 1, 7).alias("panel"), "gene", F.col("mean").alias("score")), 200))
 
 
-@query(None)
+@query(control_sql("Brand#1%", 20, 2, "") + " SELECT control, bin, gene FROM controls")
 def k9_matched_controls(spark, sf):
     m = matrix.gene_moments(V.expr(spark, sf), V.obs(spark, sf).count())
-    return enrich.matched_controls(m, m.where("gene like 'Brand#1%'").select("gene"), 20, 2)
+    return enrich.matched_controls(m, m.where("gene like 'Brand#1%'").select("gene"), 20, 2).select(F.col("control").cast("long").alias("control"), "bin", "gene")
 
 
 @query(_EFF + ", d AS (SELECT gene, celltype, mean_in - mean_out AS md FROM eff) SELECT gene, celltype, round((md - AVG(md) OVER w) / greatest(stddev_pop(md) OVER w, 1e-8), 5) AS z FROM d WINDOW w AS (PARTITION BY gene)")
@@ -386,11 +426,22 @@ def b8_b9_minmax(spark, sf):
     return rounded(v.select("obs_id", ST.minmax("value", ["dim"]).alias("unit"), ST.minmax("value", ["dim"], "eps").alias("eps")))
 
 
-@query(None)
+EDGE_COLUMNS = ", ".join(f"round({c}, 6) AS {c}" for c in ("contrast", "structure", "noise", "saturation", "score"))
+
+
+def edge_sql(before: str, after: str, name: str) -> str:
+    """Edge scores of two tables (obs_id, value) as the table ``name``."""
+    return f""", d_{name} AS (SELECT abs(p.value - q.value) AS d0, abs(r.value - s.value) AS d1 FROM edges JOIN {before} p ON p.obs_id = src JOIN {before} q ON q.obs_id = dst JOIN {after} r ON r.obs_id = src JOIN {after} s ON s.obs_id = dst),
+q_{name} AS (SELECT quantile_cont(d0, 0.2) AS l, quantile_cont(d0, 0.8) AS h FROM d_{name}),
+r_{name} AS (SELECT AVG(d1) / greatest(AVG(d0), 1e-9) AS al, AVG(d1) FILTER (WHERE d0 <= l) / greatest(AVG(d0) FILTER (WHERE d0 <= l), 1e-9) AS lo, AVG(d1) FILTER (WHERE d0 >= h) / greatest(AVG(d0) FILTER (WHERE d0 >= h), 1e-9) AS hi FROM d_{name} CROSS JOIN q_{name}),
+{name} AS (SELECT *, contrast * structure / (1 + noise + 2 * saturation) AS score FROM (SELECT greatest(hi - 1, 0) AS contrast, exp(-abs(ln(greatest(al, 1e-9)))) AS structure, greatest(lo - 1, 0) AS noise FROM r_{name}) CROSS JOIN (SELECT AVG((value <= 0.01 OR value >= 0.99)::INT) AS saturation FROM {after}))"""
+
+
+@query(_VAL + ", u0 AS (SELECT obs_id, (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS value FROM val), u1 AS (SELECT obs_id, cume_dist() OVER (ORDER BY value) AS value FROM val)" + edge_sql("u0", "u1", "es") + f" SELECT {EDGE_COLUMNS} FROM es")
 def e38_e39_edge_scores(spark, sf):
     v = _val(spark, sf).withColumn("dim", F.lit(0))
     before = v.withColumn("value", ST.minmax("value", ["dim"]))
-    return equalize.edge_scores(before, equalize.ecdf(v), V.edges(spark, sf))
+    return rounded(equalize.edge_scores(before, equalize.ecdf(v), V.edges(spark, sf)))
 
 
 # segments
@@ -447,20 +498,55 @@ def e30_compactness_metrics(spark, sf):
     return m.select("side", "segments", F.round("embedding_var", 1).alias("embedding_var"), F.round("mean_log_aspect", 5).alias("mean_log_aspect"), F.round("size_cv", 6).alias("size_cv"), F.round("neighbor_disagreement", 6).alias("neighbor_disagreement"))
 
 
-@query(None)
+def choice_sql(rows: str, schedule: float) -> str:
+    """Scores and choice among the candidates ``rows`` (compactness and the four metrics); ends in the table ``ch``."""
+    unit = lambda c: f"({c} - min({c}) OVER ()) / CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 1 ELSE max({c}) OVER () - min({c}) OVER () END"
+    w = {"mean_log_aspect": 0.30, "size_cv": 0.35, "neighbor_disagreement": 0.35}
+    cost = " + ".join(f"coalesce({unit(c)} * {v}, 0)" for c, v in w.items())
+    total = " + ".join(f"CASE WHEN {c} IS NOT NULL THEN {v} ELSE 0 END" for c, v in w.items())
+    return f""", co AS (SELECT *, {unit("embedding_var")} AS fidelity_cost, ({cost}) / nullif({total}, 0) AS regularity_cost FROM {rows}),
+sr AS (SELECT *, 1 - coalesce(2 * (1 - fidelity_cost) * (1 - regularity_cost) / nullif(2 - fidelity_cost - regularity_cost, 0), 0) AS score FROM co),
+ne AS (SELECT *, score <= min(score) OVER () + greatest(0.01, 0.1 * (max(score) OVER () - min(score) OVER ())) AS near, abs(ln(compactness / {schedule})) AS away, CASE WHEN max(compactness) OVER () = min(compactness) OVER () THEN 0 ELSE (compactness - min(compactness) OVER ()) / (max(compactness) OVER () - min(compactness) OVER ()) END AS pl FROM sr),
+pe AS (SELECT *, score + 0.02 * (2 * pl - 1) ** 2 + 0.03 * away AS penalised FROM ne),
+ch AS (SELECT *, compactness = (SELECT arg_min(compactness, (penalised, away, compactness)) FROM pe WHERE near) AS selected FROM pe)"""
+
+
+_ND = ", nd AS (SELECT a.side, AVG((a.seg <> b.seg)::INT) AS neighbor_disagreement FROM edges e JOIN segments a ON a.obs_id = e.src JOIN segments b ON b.obs_id = e.dst AND b.side = a.side GROUP BY 1)"
+
+
+@query(_CM + _ND + ", cn AS (SELECT side / 10.0::DOUBLE AS compactness, m.*, neighbor_disagreement FROM m JOIN nd USING (side))" + choice_sql("cn", 0.5) + " SELECT compactness, round(fidelity_cost, 5) AS fidelity_cost, round(regularity_cost, 5) AS regularity_cost, round(score, 5) AS score, near, round(penalised, 5) AS penalised, selected FROM ch")
 def f25_f26_compactness_choice(spark, sf):
     s = segment.compactness_scores(cut(_compact(spark, sf), "candidates")).withColumn("compactness", F.col("side") / 10.0)
-    return segment.select_compactness(s, 0.5)
+    return rounded(segment.select_compactness(s, 0.5).select("compactness", "fidelity_cost", "regularity_cost", "score", "near", "penalised", "selected"), 5)
+
+
+_P3 = ", p3 AS (SELECT obs_id, x::DOUBLE AS x, y::DOUBLE AS y, bal / 1000 AS b FROM obs), c0 AS (SELECT obs_id AS seg, x, y, b FROM p3 WHERE obs_id % 100 = 0)"
 
 
-@query(None)
+def _lloyd_sql(steps: int) -> str:
+    out = _P3
+    for k in range(steps + 1):
+        out += f", a{k} AS (SELECT p.*, c.seg FROM p3 p CROSS JOIN c{k} c QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY (p.x - c.x) ** 2 + (p.y - c.y) ** 2 + (p.b - c.b) ** 2, seg) = 1), c{k + 1} AS (SELECT seg, AVG(x) AS x, AVG(y) AS y, AVG(b) AS b FROM a{k} GROUP BY 1)"
+    return out + f" SELECT obs_id, seg FROM a{steps}"
+
+
+def _slic_sql(steps: int, compactness: float, side: float) -> str:
+    ratio = (compactness / side) ** 2
+    out = _P3 + f", h AS (SELECT obs_id, x, y, b, floor(x / {side})::BIGINT AS gx, floor(y / {side})::BIGINT AS gy FROM p3), l0 AS (SELECT *, gx || '_' || gy AS seg, gx AS cx, gy AS cy FROM h)"
+    for k in range(steps):
+        out += f""", m{k} AS (SELECT seg, cx, cy, AVG(x) AS mx, AVG(y) AS my, AVG(b) AS mb FROM l{k} GROUP BY 1, 2, 3),
+l{k + 1} AS (SELECT h.*, seg, cx, cy FROM h JOIN m{k} ON abs(cx - gx) <= 1 AND abs(cy - gy) <= 1 QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY (b - mb) ** 2 + ((x - mx) ** 2 + (y - my) ** 2) * {ratio!r}, seg) = 1)"""
+    return out + f" SELECT obs_id, seg FROM l{steps}"
+
+
+@query(_lloyd_sql(3))
 def j13_j14_lloyd(spark, sf):
     p = V.obs(spark, sf).select("obs_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (F.col("bal") / 1000).alias("b"))
     c = p.where("obs_id % 100 = 0").select(F.col("obs_id").alias("seg"), "x", "y", "b")
     return segment.lloyd(p, ["x", "y", "b"], c, 3).select("obs_id", "seg")
 
 
-@query(None)
+@query(_slic_sql(2, 2.0, 8.0))
 def j15_slic(spark, sf):
     p = V.obs(spark, sf).select("obs_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (F.col("bal") / 1000).alias("b"))
     return segment.slic(p, ["b"], 2.0, 8.0, 2).select("obs_id", "seg")
@@ -471,18 +557,21 @@ def j33_medoid(spark, sf):
     return segment.medoid(V.segments(spark, sf, (5,)).join(V.obs(spark, sf), "obs_id"))
 
 
-@query(None)
+@query(""", s AS (SELECT seg, COUNT(*)::DOUBLE AS n, SUM(x * x + y * y) AS q, AVG(x) AS x, AVG(y) AS y FROM segments JOIN obs USING (obs_id) WHERE side = 20 GROUP BY 1), t AS (SELECT *, greatest(q - n * (x * x + y * y), 0) AS sse FROM s),
+g AS (SELECT COUNT(*) AS k, SUM(n) AS n, SUM(sse) AS sse, SUM(n * (x * x + y * y)) - SUM(n) * ((SUM(n * x) / SUM(n)) ** 2 + (SUM(n * y) / SUM(n)) ** 2) AS spread FROM t),
+d AS (SELECT a.seg, max((sqrt(a.sse / a.n) + sqrt(b.sse / b.n)) / sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS t FROM t a JOIN t b ON a.seg <> b.seg GROUP BY 1)
+SELECT k, round(spread / (k - 1) / (sse / (n - k)), 4) AS calinski_harabasz, (SELECT round(AVG(t), 6) FROM d) AS davies_bouldin FROM g""")
 def e37_cluster_quality(spark, sf):
     m = V.segments(spark, sf, (20,)).join(V.obs(spark, sf), "obs_id")
-    return segment.cluster_quality(m, ["x", "y"])
+    return segment.cluster_quality(m, ["x", "y"]).select("k", F.round("calinski_harabasz", 4).alias("calinski_harabasz"), F.round("davies_bouldin", 6).alias("davies_bouldin"))
 
 
 # pixels
 
 
-@query(", t AS (SELECT obs_id, x * 3 AS cx, y * 3 AS cy, bal FROM obs WHERE obs_id % 5 = 0), s AS (SELECT cx + dx AS px, cy + dy AS py, bal, obs_id FROM t CROSS JOIN (SELECT unnest(range(-2, 3)) AS dx) CROSS JOIN (SELECT unnest(range(-2, 3)) AS dy) WHERE dx * dx + dy * dy <= 4) SELECT px, py, arg_max(bal, obs_id) AS bal, COUNT(*) AS layers FROM s GROUP BY 1, 2")
+@query(", t AS (SELECT obs_id, x * 3 AS cx, y * 3 AS cy, bal FROM obs), s AS (SELECT cx + dx AS px, cy + dy AS py, bal, obs_id FROM t CROSS JOIN (SELECT unnest(range(-2, 3)) AS dx) CROSS JOIN (SELECT unnest(range(-2, 3)) AS dy) WHERE dx * dx + dy * dy <= 4) SELECT px, py, arg_max(bal, obs_id) AS bal, COUNT(*) AS layers FROM s GROUP BY 1, 2")
 def b19_j30_stamp_last_write(spark, sf):
-    t = V.obs(spark, sf).where("obs_id % 5 = 0").select("obs_id", (F.col("x") * 3).alias("cx"), (F.col("y") * 3).alias("cy"), "bal")
+    t = V.obs(spark, sf).select("obs_id", (F.col("x") * 3).alias("cx"), (F.col("y") * 3).alias("cy"), "bal")
     return raster.last_write(raster.stamp(t, 2, "disc"), "bal", [F.col("obs_id")])
 
 
@@ -493,9 +582,9 @@ def b18_j32_bilinear_splat(spark, sf):
     return raster.splat_mean(p, "bal").select("px", "py", F.round("bal", 4).alias("bal"))
 
 
-@query(", s AS (SELECT x AS px, y AS py FROM obs WHERE obs_id % 3 <> 0), d AS (SELECT DISTINCT px + dx AS px, py + dy AS py FROM s CROSS JOIN (SELECT unnest([0, 1, -1, 0, 0]) AS dx, unnest([0, 0, 0, 1, -1]) AS dy)) SELECT px + dx AS px, py + dy AS py FROM d CROSS JOIN (SELECT unnest([0, 1, -1, 0, 0]) AS dx, unnest([0, 0, 0, 1, -1]) AS dy) GROUP BY 1, 2 HAVING COUNT(*) = 5")
+@query(", s AS (SELECT x + x // 3 AS px, y + y // 4 AS py FROM obs), d AS (SELECT DISTINCT px + dx AS px, py + dy AS py FROM s CROSS JOIN (SELECT unnest([0, 1, -1, 0, 0]) AS dx, unnest([0, 0, 0, 1, -1]) AS dy)) SELECT px + dx AS px, py + dy AS py FROM d CROSS JOIN (SELECT unnest([0, 1, -1, 0, 0]) AS dx, unnest([0, 0, 0, 1, -1]) AS dy) GROUP BY 1, 2 HAVING COUNT(*) = 5")
 def j31_closing(spark, sf):
-    p = V.obs(spark, sf).where("obs_id % 3 <> 0").select(F.col("x").alias("px"), F.col("y").alias("py"))
+    p = V.obs(spark, sf).select((F.col("x") + F.floor(F.col("x") / 3)).alias("px"), (F.col("y") + F.floor(F.col("y") / 4)).alias("py"))
     return raster.close(p)
 
 
@@ -505,7 +594,13 @@ def d6_boundary_edges(spark, sf):
     return graph.boundary_edges(p)
 
 
-@query(None)
+@query(
+    V.SQL.replace("WITH obs", "WITH RECURSIVE obs", 1)
+    + """, e AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges), s AS (SELECT a, b, o.celltype FROM e JOIN obs o ON o.obs_id = a JOIN obs p ON p.obs_id = b AND p.celltype = o.celltype),
+r AS (SELECT obs_id AS a, obs_id AS b FROM obs UNION SELECT r.a, s.b FROM r JOIN s ON s.a = r.b), c AS (SELECT a, min(b) AS c FROM r GROUP BY 1), n AS (SELECT celltype, c, COUNT(*) AS n FROM c JOIN obs ON obs_id = a GROUP BY 1, 2)
+SELECT celltype, COUNT(*) AS parts, max(n) AS largest FROM n GROUP BY 1""",
+    base=False,
+)
 def e28_segment_components(spark, sf):
     """Connected parts of each group's pixels: their number and the largest."""
     p = V.obs(spark, sf).select(F.col("x").alias("px"), F.col("y").alias("py"), "celltype")
@@ -719,10 +814,10 @@ def g5_representative(spark, sf):
     return x.join(m, "l_suppkey").groupBy(F.col("l_suppkey").alias("s")).agg(F.min_by("l_quantity", F.struct(F.abs(F.col("l_quantity") - F.col("m")), "l_orderkey", "l_linenumber")).alias("typical"))
 
 
-@query("SELECT 'orders' AS src, o_orderkey AS id, o_totalprice AS price, NULL::VARCHAR AS brand FROM orders WHERE o_orderkey < 50 UNION ALL SELECT 'part', p_partkey, NULL, p_brand FROM part WHERE p_partkey < 50", base=False)
+@query("SELECT 'orders' AS src, o_orderkey AS id, o_totalprice AS price, NULL::VARCHAR AS brand FROM orders UNION ALL SELECT 'part', p_partkey, NULL, p_brand FROM part", base=False)
 def h1_union_columns(spark, sf):
-    a = V.table(spark, sf, "orders").where("o_orderkey < 50").select(F.lit("orders").alias("src"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
-    b = V.table(spark, sf, "part").where("p_partkey < 50").select(F.lit("part").alias("src"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"))
+    a = V.table(spark, sf, "orders").select(F.lit("orders").alias("src"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    b = V.table(spark, sf, "part").select(F.lit("part").alias("src"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"))
     return a.unionByName(b, allowMissingColumns=True)
 
 
