@@ -16,6 +16,27 @@ from .graph import collapse, transform_weights
 from .matrix import gene_filter, log1p, normalize_total, pseudo_bulk
 
 
+#: Names of the covariates on which sizes are regressed out.
+COVARIATES = {"log_n_spots": ("log_n_spots", "n_spots", "segment_size", "log_segment_size"), "log_total_counts": ("log_total_counts", "total_counts", "library_size", "log_library_size")}
+NO_COVARIATE = ("", "none", "false", "off", "no")
+
+
+def metric_of(mode: str | None) -> tuple[str, bool]:
+    """Score column of a mode, and whether smaller is better."""
+    return ("geary", True) if str(mode).lower() == "geary" else ("moran", False)
+
+
+def covariate_of(name: str | None) -> str | None:
+    """The covariate that a name stands for; None for names of none, an error for others."""
+    key = "" if name is None else name.strip().lower()
+    if key in NO_COVARIATE:
+        return None
+    for known, names in COVARIATES.items():
+        if key in names:
+            return known
+    raise ValueError(f"unknown covariate {name!r}; one of {sorted(COVARIATES)} or None")
+
+
 def moran(x: DataFrame, w: DataFrame, n: DataFrame, by: list[str]) -> DataFrame:
     """``by, gene, moran, geary``.  ``x``: by, seg, gene, value; ``w``: by, i, j, weight; ``n``: by, n (all segments).
 
@@ -74,6 +95,39 @@ def bulk_at_scales(expr: DataFrame, segments: DataFrame, by: list[str], least: i
     return log1p(normalize_total(x, [*by, "seg"]))
 
 
+def pseudo_bulk_analysis(expr: DataFrame, obs: DataFrame, segments: DataFrame, edges: DataFrame, by: list[str], numeric: list[str] = (), categorical: list[str] = (), batch: str | None = None, least: int = 1, mode: str = "moran", residual: str | None = None, n_top: int | None = None) -> dict[str, DataFrame]:
+    """All of a pseudo-bulk analysis, every scale in one plan.
+
+    ``obs``: by segment the size, mean coordinates and numbers, most frequent categories, first batch, and the number of
+    genes and the total of the filtered, normalised, logged matrix; ``matrix``; ``weights``; ``scores`` with ranks; with
+    ``n_top``, ``variable``: the genes of largest variance over a scale's segments.
+    """
+    from pyspark.sql import Window as W
+
+    from tessella.sources.storage import cut
+
+    from .segment import aggregate_members
+
+    x = cut(bulk_at_scales(expr, segments, by, least), "bulk")
+    w = cut(transform_weights(collapse(edges, segments, by).select(*by, "i", "j", "weight"), "R", by), "weights")
+    members = segments.join(obs, "obs_id")
+    table = aggregate_members(members, [*by, "seg"], ["x", "y", *numeric], list(categorical), batch)
+    per = x.groupBy(*by, "seg").agg(F.count(F.when(F.col("value") != 0, 1)).alias("genes"), F.sum("value").alias("total"))
+    degree = w.groupBy(*by, F.col("i").alias("seg")).agg(F.count(F.lit(1)).alias("neighbours"))
+    table = table.join(per, [*by, "seg"], "left").join(degree, [*by, "seg"], "left").na.fill(0, ["genes", "neighbours"]).na.fill(0.0, ["total"])
+    n = segments.groupBy(*by).agg(F.count_distinct("seg").alias("n"))
+    y, z = x, covariate_of(residual)
+    if z is not None:
+        size = segments.groupBy(*by, "seg").agg(F.log(1 + F.count(F.lit(1))).alias("z")) if z == "log_n_spots" else pseudo_bulk(expr, segments, [*by, "seg"]).groupBy(*by, "seg").agg(F.log1p(F.sum("value")).alias("z"))
+        y = cut(residualise(x, size, n, by), "residuals")
+    out = {"obs": table, "matrix": x, "weights": w, "scores": ranks(moran(y, w, n, by), by, metric_of(mode)[0])}
+    if n_top is not None:
+        v = x.groupBy(*by, "gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).join(F.broadcast(n), by)
+        v = v.withColumn("variance", F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2.0))
+        out["variable"] = v.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("variance"), "gene"))).where(F.col("_r") <= n_top).select(*by, "gene", "variance")
+    return out
+
+
 def multiscale(expr: DataFrame, segments: DataFrame, edges: DataFrame, by: list[str], least: int = 1, threshold: float | None = 0.0, metric: str = "moran") -> DataFrame:
     """All scales in one job: the scale is a key of every step."""
     from tessella.sources.storage import cut

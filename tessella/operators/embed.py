@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.stats import hashed_int
+from tessella.sources.storage import cut
+
 from .matrix import tf_idf
 
 
@@ -14,27 +17,53 @@ def _gram(x: DataFrame) -> DataFrame:
     return a.join(b, "obs_id").where("a <= b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("s"))
 
 
-def components(x: DataFrame, n_rows: int, k: int, centred: bool = True) -> tuple[DataFrame, DataFrame]:
+#: Up to so many genes their moments (a number for every two) are decomposed on the driver.
+GRAM_GENES = 1024
+
+
+def _by_gram(x: DataFrame, genes: list[str], mean, n_rows: int, k: int):
+    import numpy as np
+
+    at = {g: i for i, g in enumerate(genes)}
+    m = np.zeros((len(genes), len(genes)))
+    for r in _gram(x).toLocalIterator():
+        m[at[r.a], at[r.b]] = m[at[r.b], at[r.a]] = r.s
+    values, vectors = np.linalg.eigh(m - n_rows * np.outer(mean, mean))
+    return vectors[:, np.argsort(-values)[:k]]
+
+
+def _by_iteration(x: DataFrame, genes: list[str], mean, n_rows: int, k: int, steps: int = 12, extra: int = 8, seed: int = 0):
+    """Subspace iteration: a step is two aggregations, and brings k + ``extra`` numbers for each gene to the driver."""
+    import numpy as np
+
+    spark, at, c = x.sparkSession, {g: i for i, g in enumerate(genes)}, min(len(genes), k + extra)
+    v = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(genes), c)))[0]
+    for step in range(steps):
+        load = spark.createDataFrame([(g, v[i].tolist()) for g, i in at.items()], "gene string, v array<double>")
+        shift = mean @ v
+        scores = x.join(F.broadcast(load), "gene").groupBy("obs_id").agg(*[(F.sum(F.col("value") * F.col("v")[j]) - float(shift[j])).alias(f"y{j}") for j in range(c)])
+        z = np.zeros_like(v)
+        for r in x.join(scores, "obs_id").groupBy("gene").agg(*[F.sum(F.col("value") * F.col(f"y{j}")).alias(f"y{j}") for j in range(c)]).toLocalIterator():
+            z[at[r.gene]] = r[1:]
+        if step + 1 < steps:
+            v = np.linalg.qr(z)[0]
+    small, turn = np.linalg.eigh((v.T @ z + z.T @ v) / 2)
+    return (v @ turn)[:, np.argsort(-small)[:k]]
+
+
+def components(x: DataFrame, n_rows: int, k: int, centred: bool = True, gram_genes: int = GRAM_GENES) -> tuple[DataFrame, DataFrame]:
     """Scores (obs_id, pc, value) and loadings (gene, pc, loading) of the ``k`` largest components.
 
-    The genes x genes moments are aggregated by Spark and decomposed on the driver: they are bounded by
-    the number of (highly variable) genes, not by the data.  A component's sign makes its largest loading positive.
+    What reaches the driver is bounded by the genes: their moments for up to ``gram_genes`` of them, and beyond
+    that k + 8 numbers for each gene in every step of a subspace iteration.  A component's sign makes its largest loading positive.
     """
     import numpy as np
 
     spark = x.sparkSession
     sums = {r.gene: r.s for r in x.groupBy("gene").agg(F.sum("value").alias("s")).collect()}
     genes = sorted(sums)
-    at = {g: i for i, g in enumerate(genes)}
-    m = np.zeros((len(genes), len(genes)))
-    for r in _gram(x).collect():
-        m[at[r.a], at[r.b]] = m[at[r.b], at[r.a]] = r.s
-    mean = np.array([sums[g] for g in genes]) / n_rows
-    if centred:
-        m = m - n_rows * np.outer(mean, mean)
-    values, vectors = np.linalg.eigh(m)
-    order = np.argsort(-values)[:k]
-    v = vectors[:, order]
+    mean = np.array([sums[g] for g in genes]) / n_rows if centred else np.zeros(len(genes))
+    v = (_by_gram if len(genes) <= gram_genes else _by_iteration)(x, genes, mean, n_rows, k)
     v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
     loadings = spark.createDataFrame([(g, j, float(v[i, j])) for i, g in enumerate(genes) for j in range(v.shape[1])], "gene string, pc int, loading double")
     scores = x.join(F.broadcast(loadings), "gene").groupBy("obs_id", "pc").agg(F.sum(F.col("value") * F.col("loading")).alias("value"))
@@ -52,11 +81,34 @@ def latent_semantic(x: DataFrame, n_rows: int, k: int) -> DataFrame:
     return scores.where("pc > 0").withColumn("value", minmax("value", ["pc"]))
 
 
-def non_negative(x: DataFrame, k: int, seed: int = 0, steps: int = 5) -> DataFrame:
-    """Non-negative factors of entities by alternating least squares: obs_id, pc, value."""
-    from pyspark.ml.recommendation import ALS
+def non_negative(x: DataFrame, k: int, seed: int = 0, steps: int = 12, cut_every: int = 4) -> DataFrame:
+    """Non-negative factors of entities, ``obs_id, pc, value``, by multiplicative updates; absent values are zeros.
 
-    genes = x.select("gene").distinct().select("gene", F.dense_rank().over(Window.orderBy("gene")).cast("int").alias("item"))  # a dimension table
-    rated = x.join(F.broadcast(genes), "gene").select(F.col("obs_id").cast("int").alias("user"), "item", F.col("value").cast("float").alias("rating"))
-    model = ALS(rank=k, maxIter=steps, nonnegative=True, seed=seed, userCol="user", itemCol="item", ratingCol="rating", checkpointInterval=-1).fit(rated)
-    return model.userFactors.select(F.col("id").cast("long").alias("obs_id"), F.posexplode("features").alias("pc", "value"))
+    The genes' factors (k numbers for each gene) live on the driver and are broadcast; the entities' factors stay
+    distributed, and their lineage is cut every few steps.  They start from hashes of the ids: the same in every run.
+    """
+    import numpy as np
+
+    spark = x.sparkSession
+    genes = sorted(r.gene for r in x.select("gene").distinct().collect())
+    at = {g: i for i, g in enumerate(genes)}
+    h = np.random.default_rng(seed).random((k, len(genes))) + 0.1
+    names = [f"w{j}" for j in range(k)]
+    start = [(F.lit(0.5) + hashed_int(8, seed, "obs_id", F.lit(str(j))) / float(16**8)).alias(n) for j, n in enumerate(names)]
+    w = cut(x.select("obs_id").distinct().select("obs_id", *start), "factors")
+    for step in range(steps):
+        load = spark.createDataFrame([(g, h[:, i].tolist()) for g, i in at.items()], "gene string, h array<double>")
+        pull = x.join(F.broadcast(load), "gene").groupBy("obs_id").agg(*[F.sum(F.col("value") * F.col("h")[j]).alias(f"_{n}") for j, n in enumerate(names)])
+        hh = h @ h.T
+        push = [sum((F.col(m) * float(hh[i, j]) for i, m in enumerate(names)), F.lit(1e-12)) for j in range(k)]
+        w = w.join(pull, "obs_id").select("obs_id", *[(F.col(n) * F.col(f"_{n}") / push[j]).alias(n) for j, n in enumerate(names)])
+        if (step + 1) % cut_every == 0 or step + 1 == steps:
+            w = cut(w, "factors")
+        if step + 1 == steps:
+            break
+        xw = np.zeros((k, len(genes)))
+        for r in x.join(w, "obs_id").groupBy("gene").agg(*[F.sum(F.col("value") * F.col(n)) for n in names]).toLocalIterator():
+            xw[:, at[r.gene]] = r[1:]
+        ww = np.array(w.agg(*[F.sum(F.col(a) * F.col(b)) for a in names for b in names]).first()).reshape(k, k)
+        h *= xw / (ww @ h + 1e-12)
+    return w.unpivot("obs_id", names, "pc", "value").select("obs_id", F.substring("pc", 2, 9).cast("int").alias("pc"), "value")

@@ -66,6 +66,59 @@ def support(pixels: DataFrame, least: int) -> DataFrame:
     return _cross(pixels).groupBy("px", "py").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
+def regularise(pixels: DataFrame, closing: int = 1, fill_holes: bool = True, min_size: int = 64) -> DataFrame:
+    """Support mask ``px, py``: holes filled, closed by squares of the given radius, holes filled again, parts under ``min_size`` pixels dropped."""
+    from tessella.sources.storage import cut
+
+    from .graph import components
+
+    def square(p: DataFrame) -> DataFrame:
+        r = range(-closing, closing + 1)
+        o = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in r for j in r])).alias("o")
+        return p.select("px", "py", o).select((F.col("px") + F.col("o.i")).alias("px"), (F.col("py") + F.col("o.j")).alias("py")).groupBy("px", "py").agg(F.count(F.lit(1)).alias("n"))
+
+    x = cut(pixels.select(F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py")).distinct(), "mask")
+    if fill_holes:
+        x = cut(filled(x), "mask")
+    if closing > 0:
+        x = cut(square(square(x).drop("n")).where(F.col("n") == (2 * closing + 1) ** 2).drop("n"), "mask")
+        if fill_holes:
+            x = cut(filled(x), "mask")
+    if min_size > 0:
+        pid = (F.col("px") * F.lit(1 << 31) + F.col("py")).cast("long")
+        c = components(pixel_edges(x), x.select(pid.alias("id")))
+        big = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
+        x = x.withColumn("id", pid).join(c.join(big, "component").select("id"), "id", "left_semi").select("px", "py")
+    return x
+
+
+def filled(pixels: DataFrame) -> DataFrame:
+    """Pixels and the holes among them: unset pixels that no path of unset 4-neighbours joins to the outside.
+
+    Unset pixels of a column are taken as runs, so what is joined and labelled is bounded by the outline, not by the area.
+    """
+    from tessella.sources.storage import cut
+
+    from .graph import components
+
+    w = W.partitionBy("px").orderBy("py")
+    gaps = pixels.withColumn("_p", F.lag("py").over(w)).where(F.col("py") - F.col("_p") > 1).select("px", (F.col("_p") + 1).alias("a"), (F.col("py") - 1).alias("b"))
+    ends = pixels.groupBy("px").agg(F.min("py").alias("lo"), F.max("py").alias("hi"))
+    gaps = cut(gaps.withColumn("id", F.xxhash64("px", "a")), "gaps")
+    nxt = gaps.select((F.col("px") - 1).alias("px"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("id").alias("dst"))
+    touch = gaps.join(nxt, "px").where("a <= b2 and a2 <= b").select(F.col("id").alias("src"), "dst")
+    # a run is open if a column beside it is empty, or ends above or below within it
+    open_ = None
+    for d in (-1, 1):
+        side = ends.select((F.col("px") - d).alias("px"), "lo", "hi")
+        one = gaps.join(side, "px", "left").where("lo is null or a < lo or b > hi").select("id")
+        open_ = one if open_ is None else open_.unionByName(one)
+    c = cut(components(touch, gaps.select("id")), "holes")
+    outside = c.join(open_.distinct(), "id", "left_semi").select("component").distinct()
+    holes = gaps.join(c.join(outside, "component", "left_anti").select("id"), "id", "left_semi")
+    return pixels.select("px", "py").unionByName(holes.select("px", F.explode(F.sequence("a", "b")).alias("py")))
+
+
 def pixel_edges(pixels: DataFrame, by: list[str] = ()) -> DataFrame:
     """4-neighbour pairs of set pixels (of equal ``by``), as ids ``px * 2^31 + py``."""
     pid = (F.col("px") * F.lit(1 << 31) + F.col("py")).cast("long")

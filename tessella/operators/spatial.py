@@ -44,19 +44,15 @@ def reduce_resolution(points: DataFrame, scale: float) -> DataFrame:
 def _dense(df: DataFrame, c: str, name: str) -> DataFrame:
     """Distinct values of a coordinate with their place in ascending order.
 
-    Places come from counts of disjoint ranges: values are ranked inside their range only, and a range's
-    start is the number of values in the ranges before it - a table as small as the number of ranges.
+    Spark deals the values out in ranges of equal size, however they are spread; they are ranked inside their range
+    only, and a range's start is the number of values in the ranges before it - a table as small as the number of ranges.
     """
     values = df.select(c).where(F.col(c).isNotNull()).distinct()
-    lo_hi = values.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
-    ranges = 64
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / ranges, F.lit(1e-12))
-    part = F.least(F.floor((F.col(c) - F.col("_lo")) / width), F.lit(ranges - 1))
-    cut = values.crossJoin(F.broadcast(lo_hi)).select(c, part.alias("_r"))
-    sizes = cut.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = cut(values.repartitionByRange(c).select(c, F.spark_partition_id().alias("_r")), "ranges")
+    sizes = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_r", F.coalesce(F.sum("_n").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     at = F.row_number().over(W.partitionBy("_r").orderBy(c)) - 1
-    return cut.join(F.broadcast(before), "_r").select(c, (at + F.col("_before")).cast("long").alias(name), "_r")
+    return ranged.join(F.broadcast(before), "_r").select(c, (at + F.col("_before")).cast("long").alias(name), "_r")
 
 
 def compact_tight(points: DataFrame, step: float = 1.0) -> DataFrame:

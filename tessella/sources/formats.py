@@ -35,6 +35,27 @@ def scale_row(index: DataFrame, scale_id: str) -> dict:
     return rows[0].asDict()
 
 
+#: How an index names the native scale.
+NATIVE_IDS, NATIVE_MODE, NATIVE_PATH = ("native", "native_identity", "__native_identity__"), "native_identity", "__native_identity__"
+
+
+def with_native(index: DataFrame) -> DataFrame:
+    """Adds ``native``: by id, mode or path; only where no row has such a hint, by the column ``native_identity``, unless that is true for all of several rows."""
+    from tessella.functions.scalars import is_true
+
+    def text(c: str):
+        return F.coalesce(F.lower(F.trim(F.col(c).cast("string"))), F.lit("")) if c in index.columns else F.lit("")
+
+    hint = text("scale_id").isin(*NATIVE_IDS) | F.contains(text("scale_id"), F.lit(NATIVE_MODE)) | (text("mode") == NATIVE_MODE)
+    if "path" in index.columns:
+        hint = hint | F.coalesce(F.col("path") == NATIVE_PATH, F.lit(False))
+    flag = is_true("native_identity") if "native_identity" in index.columns else F.lit(False)
+    x = index.withColumn("_hint", hint).withColumn("_flag", flag)
+    all_ = x.agg(F.bool_or("_hint").alias("_any"), F.bool_and("_flag").alias("_all"), F.count(F.lit(1)).alias("_n"))
+    weak = F.col("_flag") & ~(F.col("_all") & (F.col("_n") > 1))
+    return x.crossJoin(F.broadcast(all_)).withColumn("native", F.when(F.col("_any"), F.col("_hint")).otherwise(weak)).drop("_hint", "_flag", "_any", "_all", "_n")
+
+
 #: Modes in order of preference.
 MODES = ("auto_reference", "native", "manual")
 
