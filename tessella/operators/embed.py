@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.stats import hashed_int
 from tessella.sources.storage import cut
 
-from .matrix import tf_idf
+from .matrix import gene_moments, loading_embedding, log1p, normalize_total, tf_idf
 
 
 def _gram(x: DataFrame) -> DataFrame:
@@ -112,3 +112,52 @@ def non_negative(x: DataFrame, k: int, seed: int = 0, steps: int = 12, cut_every
         ww = np.array(w.agg(*[F.sum(F.col(a) * F.col(b)) for a in names for b in names]).first()).reshape(k, k)
         h *= xw / (ww @ h + 1e-12)
     return w.unpivot("obs_id", names, "pc", "value").select("obs_id", F.substring("pc", 2, 9).cast("int").alias("pc"), "value")
+
+
+#: Count processing by name.
+NORMALISATIONS = {
+    "log_norm": lambda x, n: log1p(normalize_total(x, ["obs_id"])),
+    "tf_idf": tf_idf,
+    "none": lambda x, n: x,
+}
+#: Embeddings by name: of processed counts, with the number of entities and of dimensions.
+METHODS = {
+    "pca": lambda x, n, k: components(x, n, k)[0],
+    "pca_uncentred": lambda x, n, k: components(x, n, k, centred=False)[0],
+    "loadings": lambda x, n, k: loading_embedding(x, components(x, n, k)[1]),
+    "lsi": lambda x, n, k: components(x, n, k + 1, centred=False)[0].where("pc > 0"),
+    "nmf": lambda x, n, k: non_negative(x, k),
+}
+
+
+def generate(expr: DataFrame, tiles: DataFrame, method: str = "pca", normalisation: str = "log_norm", dimensions: int = 30, n_top: int | None = None, sets: dict[str, list[str]] | None = None, scale: bool = True) -> DataFrame:
+    """From counts and tiles (``px, py, obs_id``) to an embedded picture: ``px, py, obs_id, pc, value``.
+
+    Counts are processed by name, reduced to the ``n_top`` genes of largest variance, and embedded by name; ``sets`` gives
+    gene-set means instead (one dimension each).  An entity without values is 0 in every dimension.  ``scale`` maps
+    each dimension to [0, 1] over the entities that have tiles.
+    """
+    if normalisation not in NORMALISATIONS or (sets is None and method not in METHODS):
+        raise ValueError(f"unknown normalisation or method: {normalisation!r}, {method!r}")
+    obs = tiles.select("obs_id").distinct()
+    n = obs.count()
+    x = NORMALISATIONS[normalisation](expr.join(obs, "obs_id", "left_semi"), n).select("obs_id", "gene", "value")
+    if n_top is not None:
+        top = gene_moments(x, n).orderBy(F.desc("variance"), "gene").limit(n_top)  # the best n genes
+        x = x.join(F.broadcast(top.select("gene")), "gene", "left_semi")
+    x = cut(x, "processed")
+    if sets is not None:
+        rows = [(g, i, 1.0 / len(genes)) for i, genes in enumerate(sets.values()) for g in genes]
+        member = x.sparkSession.createDataFrame(rows, "gene string, pc int, w double")
+        scores, dims = x.join(F.broadcast(member), "gene").groupBy("obs_id", "pc").agg(F.sum(F.col("value") * F.col("w")).alias("value")), len(sets)
+    else:
+        scores = METHODS[method](x, n, dimensions)
+        first = scores.agg(F.min("pc")).first()[0] or 0
+        scores, dims = scores.select("obs_id", (F.col("pc") - first).cast("int").alias("pc"), "value"), dimensions
+    grid = obs.select("obs_id", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("pc"))
+    full = grid.join(scores, ["obs_id", "pc"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    if scale:
+        ends = full.groupBy("pc").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+        width = F.when(F.col("_hi") == F.col("_lo"), 1.0).otherwise(F.col("_hi") - F.col("_lo"))
+        full = full.join(F.broadcast(ends), "pc").select("obs_id", "pc", ((F.col("value") - F.col("_lo")) / width).alias("value"))
+    return tiles.select("px", "py", "obs_id").join(full, "obs_id").select("px", "py", "obs_id", "pc", "value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella import settings
-from tessella.operators import autocorr, cluster, compare, enrich, equalize, matrix, parallel, raster, scale, search, segment, tiles
+from tessella.operators import autocorr, cluster, compare, embed, enrich, equalize, matrix, parallel, raster, scale, search, segment, tiles
 from tessella.sources import formats
 from tessella.sources.storage import cut
 
@@ -350,6 +350,25 @@ def f27_refined_candidates(spark, sf):
     return spark.createDataFrame([(b, round(c, 9)) for b in _SEEDS for c in sorted({round(x, 9) for x in search.refine(_SEEDS, b)})], "best double, candidate double")
 
 
+# embedding
+
+
+_SETS_ = {"a": ["Brand#11", "Brand#12"], "b": ["Brand#23"]}
+
+
+@query(
+    _PTS
+    + f""", tl AS (SELECT round_even(x / 3, 0)::BIGINT AS px, round_even(y / 3, 0)::BIGINT AS py, min(obs_id) AS obs_id FROM pt GROUP BY 1, 2), nx AS (SELECT obs_id, gene, ln(1 + value * 1e4 / SUM(value) OVER (PARTITION BY obs_id)) AS v FROM expr),
+ms AS (SELECT * FROM (VALUES {", ".join(f"('{g}', {i}, {1 / len(v)!r}::DOUBLE)" for i, v in enumerate(_SETS_.values()) for g in v)}) t(gene, pc, w)), sm AS (SELECT obs_id, pc, SUM(v * w) AS v FROM nx JOIN ms USING (gene) GROUP BY 1, 2),
+fu AS (SELECT px, py, tl.obs_id, p.pc, coalesce(v, 0) AS v FROM tl CROSS JOIN (SELECT unnest([0, 1]) AS pc) p LEFT JOIN sm ON sm.obs_id = tl.obs_id AND sm.pc = p.pc)
+SELECT px, py, obs_id, pc, round((v - min(v) OVER w) / CASE WHEN max(v) OVER w = min(v) OVER w THEN 1 ELSE max(v) OVER w - min(v) OVER w END, 6) AS value FROM fu WINDOW w AS (PARTITION BY pc)"""
+)
+def j10_embedded_tiles(spark, sf):
+    """From points to tiles, counts to gene-set dimensions, and both to a picture."""
+    t = cut(tiles.tiles(_points(spark, sf), "inferred", 3.0), "tiles")
+    return rounded(embed.generate(V.expr(spark, sf), t, sets=_SETS_))
+
+
 # clusters
 
 

@@ -165,6 +165,26 @@ def test_non_negative_factors_equal_the_updates_on_arrays(spark):
     assert got == pytest.approx(w, abs=1e-9) and (got >= 0).all() and np.abs(w @ last - m).sum() < first / 2
 
 
+def test_embeddings_by_name(spark):
+    rng = np.random.default_rng(12)
+    m = (rng.random((20, 8)) < 0.7) * rng.integers(1, 9, (20, 8)).astype(float)
+    x = spark.createDataFrame([(i, f"g{j}", float(m[i, j])) for i in range(20) for j in range(8) if m[i, j]], "obs_id long, gene string, value double")
+    t = spark.createDataFrame([(i % 5, i // 5, i) for i in range(19)], "px long, py long, obs_id long")
+    some = m[:19]
+    logged = np.log1p(some * 1e4 / some.sum(axis=1, keepdims=True))
+    c = logged - logged.mean(axis=0)
+    v = np.linalg.svd(c)[2][0]
+    s = c @ (v * np.sign(v[np.abs(v).argmax()]))
+    got = {r.obs_id: r for r in embed.generate(x, t, dimensions=2).where("pc = 0").collect()}
+    assert [got[i].value for i in range(19)] == pytest.approx(((s - s.min()) / (s.max() - s.min())).tolist(), abs=1e-6)
+    assert all((r.px, r.py) == (i % 5, i // 5) for i, r in got.items())
+    for method, norm in (("lsi", "tf_idf"), ("nmf", "none"), ("loadings", "log_norm"), ("pca_uncentred", "log_norm")):
+        rows = embed.generate(x, t, method, norm, 2, n_top=6).collect()
+        assert len(rows) == 38 and all(0 <= r.value <= 1 for r in rows), method
+    with pytest.raises(ValueError):
+        embed.generate(x, t, "umap")
+
+
 def grid_rows(spark):
     rng = random.Random(8)
     p = spark.createDataFrame([(i * 12 + j, i, j, rng.random()) for i in range(12) for j in range(12)], "obs_id long, x long, y long, b double")

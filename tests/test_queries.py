@@ -9,8 +9,6 @@ import pytest
 from tessella.plans.catalogue import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Composed of others that are tested; left to the driver's own comparison for time.
-SLOW = {"e12_gain_summary", "e13_grouping_sets", "e14_tidy_summary", "e21_gain_drivers", "b34_gain_percent", "f9_score_classifier", "f10_score_selector", "f5_trajectory", "f24_robustness", "f7_rank_shift", "f23_stability", "a12_over_representation", "a9_rank_csv_gene_sets", "d12_rank_relationship"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +29,7 @@ def rows(df):
     return sorted(out, key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r))
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf, duck, name):
     got, want = QUERIES[name](spark, sf).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
