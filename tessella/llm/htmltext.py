@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A tolerant single pass, linear in the page however deep it nests, builds a light tree.  Elements that
-are never content (menus, scripts, notices, adverts, comments ...) fall away; a form, or an element with a
-telling name, falls away unless it holds most of the page's running text, or is a section of the article.
+are never content (menus, scripts, adverts, comments ...) fall away; a form, or an element with a
+telling name, falls away unless it holds most of the page's running text (and no article stands outside it), or
+is a section of the article.
 Every paragraph gives points for its length and commas to its ancestors, less at each level; an element's
 points are discounted by its link density.  The best container, widened to an enclosing article, and
 those siblings that look alike are kept, with all their text.
@@ -40,12 +41,12 @@ BOUNDARY = frozenset("ul ol dl table select article section div body html main n
 #: Never part of an article's text.
 DROP = frozenset("head script style noscript template nav aside footer button select textarea input iframe object embed svg canvas audio video dialog menu label map applet noembed noframes".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status tablist".split())
-#: Words in class or id of what is not the article.
-DROP_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert popup popups modal subscribe subscription signup sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager comment comments disqus respond reply replies footer masthead toolbar login search skip".split()
-)
+#: Words in class or id of what is never the article.
+NEVER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr popup popups modal overlay newsletter comment comments disqus respond reply replies".split())
+#: Words of what is not the article, but where a page has nothing else.
+DROP_WORDS = frozenset("notice notices alert subscribe subscription signup sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing recommended recommendations footer masthead toolbar login search skip".split())
 #: Words that wrappers and sections of articles have too: they count less.
-WEAK_WORDS = frozenset("overlay newsletter discussion share sharing social related recommended recommendations widget widgets header tags".split())
+WEAK_WORDS = frozenset("discussion social related widget widgets header tags".split())
 #: After "related": a section on the literature.
 _LITERATURE = frozenset("work works research literature methods".split())
 _SAFE = frozenset("html body article main".split())
@@ -53,17 +54,18 @@ _SAFE = frozenset("html body article main".split())
 RUNNING = 25
 #: An element's points reach so many of its ancestors.
 LEVELS = 64
-#: What becomes of an element: kept, dropped, dropped unless all running text is in it, dropped unless most is.
+#: What becomes of an element: kept; dropped; dropped unless the page has no text outside such elements; dropped unless most running text is in it.
 KEEP, NEVER, STRONG, WEAK = range(4)
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "drop", "role", "points", "chars", "linked", "running", "has_block")
+    __slots__ = ("tag", "up", "kids", "drop", "role", "points", "chars", "linked", "running", "article", "has_block")
 
     def __init__(self, tag: str, up: Node | None, drop: int = KEEP, role: str = ""):
         self.tag, self.up, self.drop, self.role = tag, up, drop, role
         self.kids: list = []
-        self.points, self.chars, self.linked, self.running, self.has_block = 0.0, 0, 0, 0, False
+        self.points, self.chars, self.linked, self.has_block = 0.0, 0, 0, False
+        self.running, self.article = 0, 0
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -85,18 +87,18 @@ def _unwanted(tag: str, attrs: dict[str, str], inside: bool) -> int:
     if not (words := attrs.get("class", "") + " " + attrs.get("id", "")).strip():
         return plain
     found = _WORD.findall(words.lower())
-    strong, weak = DROP_WORDS.intersection(found), WEAK_WORDS.intersection(found)
+    never, strong, weak = (words.intersection(found) for words in (NEVER_WORDS, DROP_WORDS, WEAK_WORDS))
     if "related" in weak and _LITERATURE.intersection(found):
         weak -= {"related"}
     if tag == "article":  # an article is only dropped as a comment or an advert
-        return STRONG if (strong | weak) & {"comment", "comments", "reply", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "related"} else KEEP
+        return NEVER if (never | weak) & {"comment", "comments", "reply", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "related"} else KEEP
     if inside:
         weak -= {"header"}  # of the article itself
         if tag == "section":
             weak -= {"discussion"}
     if {"has", "with", "no"}.intersection(found):  # names such as "has-sidebar" of a large wrapper
         return plain
-    return STRONG if strong else WEAK if weak else plain
+    return NEVER if never else STRONG if strong else WEAK if weak else plain
 
 
 class _Open:
@@ -193,25 +195,31 @@ def parse(html: str) -> Node:
 
 
 def _settle(root: Node) -> None:
-    """Decide about elements with telling names by the running text in them."""
-    order, todo = [], [(root, False)]
+    """Decide about elements with telling names by where the page's running text is."""
+    order, todo, plain = [], [(root, False, False, False)], 0
+    within = set()  # elements inside an article
     while todo:
-        x, linked = todo.pop()
+        x, linked, inside, suspect = todo.pop()
         if x.drop == NEVER:
             continue
         order.append(x)
-        linked = linked or x.tag == "a"
+        if inside:
+            within.add(id(x))
+        linked, inside, suspect = linked or x.tag == "a", inside or x.tag in ("article", "main"), suspect or x.drop != KEEP
         for k in x.kids:
             if not isinstance(k, str):
-                todo.append((k, linked))
-            elif not linked and len(t := k.strip()) >= RUNNING:
-                x.running += len(t)
+                todo.append((k, linked, inside, suspect))
+            elif not linked and (t := k.strip()):
+                x.running += len(t) if len(t) >= RUNNING else 0
+                x.article += len(t) if inside else 0
+                plain += 0 if suspect else len(t)
     for x in reversed(order):
         if x.up is not None:
             x.up.running += x.running
-    total = root.running
+            x.up.article += x.article
     for x in order:
-        if (x.drop == WEAK and 2 * x.running > total) or (x.drop == STRONG and total and x.running == total):
+        most = 2 * x.running > root.running
+        if (x.drop == WEAK and most and (id(x) in within or x.article == root.article)) or (x.drop == STRONG and most and not plain):
             x.drop = KEEP
 
 

@@ -360,6 +360,14 @@ def test_main_text_of_telling_names(page):
     assert htmltext.main_text("<nav><a href=x>Menu</a></nav>" + page % PROSE + "<footer>(c) 2020</footer>") == want
 
 
+def test_main_text_of_short_articles():
+    long = "A rather long sentence of an advert or of a reader, with commas, and more of it. " * 5
+    for other in ("<div class=ad>%s</div>", "<div class=comments><p>%s</p></div>", "<form><p>%s</p></form>", "<div class=widget><p>%s</p></div>", "<div class=sidebar><p>%s</p></div>", "<div class=newsletter><p>%s</p></div>"):
+        assert htmltext.main_text(other % long + "<article><p>One.</p></article>") == "One.", other
+    for other in ("<div class=ad>%s</div>", "<div class=comments><p>%s</p></div>", "<div class=sidebar><p>%s</p></div>", "<div class=notice><p>%s</p></div>"):
+        assert htmltext.main_text(other % long + "<div><p>One word, and another.</p></div>") == "One word, and another.", other
+
+
 def test_main_text_keeps_the_articles_own_parts():
     page = f"""<article>{PROSE}<section id="discussion"><h2>Discussion</h2><p>We discuss.</p></section><div class="related-work"><p>Others did.</p></div>
     <p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><ul><li><a href=x>Reference one</a></li><li><a href=y>Reference two</a></li></ul><div class="comments"><p>A reader says that this is a good one.</p></div></article>"""
@@ -527,3 +535,12 @@ def test_pipeline_stages_of_odd_tables(spark):
         assert P.STAGES[-1][1](spark, docs, SF).count() >= n
     stayed = [r.doc_id for r in P.near_duplicate_stage(spark, odd, SF).collect()]
     assert sorted(stayed, key=str) == [1, 2, 3, 4, None]
+
+
+def test_scratch_tables_are_removed(spark):
+    with common.scratch(spark, lambda: kept):
+        first = common.cut(spark.range(5), "one")
+        kept = common.cut(first.where("id > 1"), "two")
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)exist|no such"):
+        spark.read.parquet(first.inputFiles()[0].rsplit("/", 1)[0] if first.inputFiles() else "/nowhere").count()
