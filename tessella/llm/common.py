@@ -15,6 +15,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -74,8 +75,33 @@ def workspace(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+#: Paths of intermediate tables made within each open ``scratch``.
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: Callable[[], DataFrame | None]) -> Iterator[None]:
+    """Removes the intermediate tables that were made inside, but for the files of ``keep()`` (asked at the end).
+
+    For work whose result is written by then: nothing may read the other tables later.  An error leaves them.
+    """
+    _MADE.append([])
+    try:
+        yield
+        result = keep()
+        kept = set() if result is None else {f.rsplit("/", 1)[0] for f in result.inputFiles()}
+        for path in _MADE[-1]:
+            if not any(k.endswith(path.split(":", 1)[-1].lstrip("/")) for k in kept):
+                drop_path(spark, path)
+    finally:
+        _MADE.pop()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{workspace(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _MADE:
+        made.append(path)
+    return path
 
 
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
