@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm import langid, mixing, neardup, quality
-from tessella.llm.common import cut, documents, fresh, hashable
+from tessella.llm.common import cut, documents, fresh, hashable, scratch
 from tessella.llm.queries import pack_documents
 
 
@@ -68,9 +68,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each over what the one before wrote; once it has written its own, its intermediate tables go."""
     docs = documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs, f"stage_{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark, lambda: docs):
+            docs = cut(stage(spark, docs, sf_dir), f"stage_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
