@@ -9,6 +9,7 @@ a special token goes through the library as a whole, which gives that token's id
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import unicodedata
@@ -81,7 +82,7 @@ class Encoder:
     At most four times ``limit`` short strings and their ids are kept.
     """
 
-    def __init__(self, path: str, limit: int = 80_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -89,6 +90,8 @@ class Encoder:
         # case as in a normalised text, so no text with a special token's string is overlooked
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
+        # signs that all of them begin with are looked for first
+        self.sign = re.match(r"[^\w\s]*", os.path.commonprefix(added))[0] if added else "\0"
         self.pieces, self.parts = _Learned(self._piece, limit), _Learned(self._part, limit)
         # with this normaliser white space only separates; otherwise it is kept
         self.drops_space = self.norm is not None and self.tok.encode(" \n ", add_special_tokens=False).ids == []
@@ -110,7 +113,7 @@ class Encoder:
         return b"".join([self._ids(x) for x, _ in self.pre.pre_tokenize_str(s)])
 
     def encode(self, text: str) -> bytes:
-        if self.special.search(text):
+        if self.sign in text and self.special.search(text):
             return self._full(text)
         if _PLAIN.fullmatch(text):
             found = _DROPPING.findall(text.lower()) if self.drops_space else _KEEPING.findall(text)
