@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -500,25 +501,53 @@ def test_components_of_chains_and_stars(spark):
     assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_pipeline_stages_keep_their_contract(spark):
+def drawn(rate, doc_id):
+    """Copies by inverting the Poisson distribution, term by term."""
+    u = int(hashlib.md5(f"mix|{doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+    total = k = 0
+    while (total := total + math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))) <= u:
+        k += 1
+    return k
+
+
+def test_pipeline_stages_equal_brute_force(spark):
     import corpus_pipeline as P
 
     docs = common.documents(spark, SF)
-    before = {r.doc_id: r.text for r in docs.collect()}
     for name, stage in P.STAGES[:-1]:
+        rows = docs.collect()
+        texts = {r.doc_id: r.text or "" for r in rows}
         out = common.cut(stage(spark, docs, SF), f"test_{name}")
         assert out.columns == docs.columns
-        now = [r.doc_id for r in out.collect()]
-        assert set(now) <= set(before)
-        if name == "near_duplicates":
-            ids = sorted(before)
-            _, comps = true_components([before[i] for i in ids], 80)
-            want = {ids[c] if before[ids[c]] else i for i, c in zip(ids, comps, strict=True)}
-            assert set(now) == want and len(now) == len(want)
-        docs, before = out, {i: before[i] for i in now}
+        now = Counter(r.doc_id for r in out.collect())
+        if name == "quality":
+            model = quality.fit(docs)
+            want = [i for i, t in texts.items() if model.score(t, quality.votes(t)) >= 0.5]
+        elif name == "language":
+            model = langid.fit(docs)
+            want = [i for i, t in texts.items() for lang, score in [model.predict(t)] if lang != "und" and score >= 0.05]
+        elif name == "near_duplicates":
+            ids = sorted(texts)
+            _, comps = true_components([texts[i] for i in ids], 80)
+            want = sorted({ids[c] if texts[ids[c]] else i for i, c in zip(ids, comps, strict=True)})
+        else:
+            n = Counter(r.source for r in rows)
+            rate = {s: math.sqrt(k) * len(rows) / (sum(map(math.sqrt, n.values())) * k) for s, k in n.items()}
+            want = [r.doc_id for r in rows for _ in range(drawn(rate[r.source], r.doc_id))]
+        assert now == Counter(want) and want, name
+        docs = out
+    rows = docs.collect()
     packed = P.STAGES[-1][1](spark, docs, SF).collect()
-    check_packing(packed, 2048)
-    assert {r.doc_id for r in packed} == set(before)
+    plain, want = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), Counter()
+    for r in rows:
+        ids = [*plain.encode(r.text or "", add_special_tokens=False).ids, 0]
+        head = len(ids) % 2048
+        cuts = [c for c in ([0] if head and len(ids) > 2048 else []) + list(range(head, len(ids), 2048))] if len(ids) > 2048 else [0]
+        for k, (at, end) in enumerate(zip(cuts, [*cuts[1:], len(ids)], strict=True)):
+            want[r.doc_id, k, at, end - at, zlib.crc32(np.array(ids[at:end], "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == want
+    n = check_packing(packed, 2048)
+    assert n <= -(-sum(r.length for r in packed) // 2048) * 1.02 + 1
 
 
 def test_pipeline_stages_of_odd_tables(spark):
