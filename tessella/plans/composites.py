@@ -66,11 +66,11 @@ def e19_marker_panels(spark, sf):
 mx AS (SELECT side, seg, gene, ln(1 + v * 1e4 / SUM(v) OVER (PARTITION BY side, seg)) AS v FROM raw JOIN ok USING (side, gene)), per AS (SELECT side, seg, COUNT(*) AS genes, SUM(v) AS total FROM mx GROUP BY 1, 2),
 gr AS (SELECT DISTINCT a.side, least(a.seg, b.seg) AS i, greatest(a.seg, b.seg) AS j FROM edges e JOIN segments a ON a.obs_id = e.src JOIN segments b ON b.obs_id = e.dst AND b.side = a.side WHERE a.seg <> b.seg), dg AS (SELECT side, seg, COUNT(*) AS neighbours FROM (SELECT side, i AS seg FROM gr UNION ALL SELECT side, j FROM gr) GROUP BY 1, 2),
 m AS (SELECT side, seg, o.* FROM segments JOIN obs o USING (obs_id) WHERE side IN (5, 8)), ct AS (SELECT side, seg, celltype FROM m GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY side, seg ORDER BY COUNT(*) DESC, celltype) = 1)
-SELECT side, seg, COUNT(*) AS n, round(AVG(x), 6) AS x, round(AVG(y), 6) AS y, round(AVG(bal), 7) AS bal, arg_min(batch, obs_id) AS batch, any_value(ct.celltype) AS celltype, coalesce(any_value(genes), 0) AS genes, round(coalesce(any_value(total), 0), 5) AS total, coalesce(any_value(neighbours), 0) AS neighbours
+SELECT side, seg, COUNT(*) AS n, round(AVG(x), 6) AS x, round(AVG(y), 6) AS y, round(AVG(bal), 9) AS bal, arg_min(batch, obs_id) AS batch, any_value(ct.celltype) AS celltype, coalesce(any_value(genes), 0) AS genes, round(coalesce(any_value(total), 0), 5) AS total, coalesce(any_value(neighbours), 0) AS neighbours
 FROM m JOIN ct USING (side, seg) LEFT JOIN per USING (side, seg) LEFT JOIN dg USING (side, seg) GROUP BY 1, 2""")
 def e2_pseudo_bulk_analysis(spark, sf):
     a = autocorr.pseudo_bulk_analysis(V.expr(spark, sf), V.obs(spark, sf), V.segments(spark, sf, (5, 8)), V.edges(spark, sf), ["side"], ["bal"], ["celltype"], "batch", least=4)
-    return a["obs"].select("side", "seg", "n", *[F.round(c, d).alias(c) for c, d in (("x", 6), ("y", 6), ("bal", 7))], "batch", "celltype", "genes", F.round("total", 5).alias("total"), "neighbours")
+    return a["obs"].select("side", "seg", "n", *[F.round(c, d).alias(c) for c, d in (("x", 6), ("y", 6), ("bal", 9))], "batch", "celltype", "genes", F.round("total", 5).alias("total"), "neighbours")
 
 
 @query(None)
