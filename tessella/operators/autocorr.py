@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import min_rank
+from tessella.sources.storage import many
 
 from .graph import collapse, transform_weights
 from .matrix import gene_filter, log1p, normalize_total, pseudo_bulk
@@ -46,13 +47,13 @@ def moran(x: DataFrame, w: DataFrame, n: DataFrame, by: list[str]) -> DataFrame:
     cols = w.groupBy(*by, F.col("j").alias("seg")).agg(F.sum("weight").alias("c"))
     s0 = w.groupBy(*by).agg(F.sum("weight").alias("s0"))
     zero = F.lit(0.0)
-    sums = x.join(rows, [*by, "seg"], "left").join(cols, [*by, "seg"], "left")
+    sums = many(x).join(many(rows), [*by, "seg"], "left").join(many(cols), [*by, "seg"], "left")
     sums = sums.withColumn("r", F.coalesce("r", zero)).withColumn("c", F.coalesce("c", zero))
     v = F.col("value")
     m = sums.groupBy(*by, "gene").agg(F.sum(v).alias("sx"), F.sum(v * v).alias("sxx"), F.sum(v * F.col("r")).alias("sxr"), F.sum(v * F.col("c")).alias("sxc"), F.sum(v * v * (F.col("r") + F.col("c"))).alias("sxxrc"))
     a = x.select(*by, F.col("seg").alias("i"), "gene", F.col("value").alias("xi"))
     b = x.select(*by, F.col("seg").alias("j"), "gene", F.col("value").alias("xj"))
-    cross = w.join(a, [*by, "i"]).join(b, [*by, "j", "gene"]).groupBy(*by, "gene").agg(F.sum(F.col("weight") * F.col("xi") * F.col("xj")).alias("s1"))
+    cross = many(w).join(many(a), [*by, "i"]).join(many(b), [*by, "j", "gene"]).groupBy(*by, "gene").agg(F.sum(F.col("weight") * F.col("xi") * F.col("xj")).alias("s1"))
     t = m.join(cross, [*by, "gene"], "left").join(F.broadcast(n), by).join(F.broadcast(s0), by, "left")
     s1, s0_ = F.coalesce("s1", zero), F.coalesce("s0", zero)
     mean = F.col("sx") / F.col("n")
@@ -69,13 +70,13 @@ def residualise(x: DataFrame, covariate: DataFrame, n: DataFrame, by: list[str])
     The result is dense: every gene has a row for every segment.
     """
     genes = x.select(*by, "gene").distinct()
-    dense = covariate.join(genes, by).join(x, [*by, "seg", "gene"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    dense = many(covariate.join(F.broadcast(genes), by)).join(many(x), [*by, "seg", "gene"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     z, v = F.col("z"), F.col("value")
     s = dense.groupBy(*by, "gene").agg(F.count(F.lit(1)).alias("n_"), F.sum(z).alias("z_"), F.sum(z * z).alias("zz"), F.sum(v).alias("v_"), F.sum(z * v).alias("zv"))
     det = F.col("n_") * F.col("zz") - F.col("z_") * F.col("z_")
     slope = F.when(F.abs(det) > 1e-12, (F.col("n_") * F.col("zv") - F.col("z_") * F.col("v_")) / F.when(F.abs(det) > 1e-12, det).otherwise(1.0))
     s = s.withColumn("slope", slope).withColumn("icept", (F.col("v_") - F.col("slope") * F.col("z_")) / F.col("n_"))
-    out = dense.join(s.select(*by, "gene", "slope", "icept"), [*by, "gene"])
+    out = dense.join(F.broadcast(s.select(*by, "gene", "slope", "icept")), [*by, "gene"])
     return out.select(*by, "seg", "gene", F.when(F.col("slope").isNull(), v).otherwise(v - F.col("icept") - F.col("slope") * z).alias("value"))
 
 

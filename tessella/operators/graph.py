@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.sources.storage import cut
+from tessella.sources.storage import cut, many
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def collapse(edges: DataFrame, segments: DataFrame, by: list[str] = ()) -> DataF
     """
     a = segments.select(*by, F.col("obs_id").alias("src"), F.col("seg").alias("i"))
     b = segments.select(*by, F.col("obs_id").alias("dst"), F.col("seg").alias("j"))
-    cross = edges.join(a, "src").join(b, ["dst", *by]).where("i <> j and i is not null and j is not null")
+    cross = many(edges).join(many(a), "src").join(many(b), ["dst", *by]).where("i <> j and i is not null and j is not null")
     pairs = cross.groupBy(*by, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
     back = pairs.select(*by, F.col("j").alias("i"), F.col("i").alias("j"), "weight", "n")
     return pairs.unionByName(back).withColumn("mean", F.col("weight") / F.col("n"))

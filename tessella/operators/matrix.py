@@ -7,11 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import with_quantiles
+from tessella.sources.storage import many
 
 
 def pseudo_bulk(expr: DataFrame, members: DataFrame, keys: list[str], mean: bool = False) -> DataFrame:
     """Sum (or mean over all members) of every gene in every segment; ``members``: obs_id and ``keys``."""
-    x = expr.join(members, "obs_id").groupBy(*keys, "gene").agg(F.sum("value").alias("value"))
+    x = many(expr).join(many(members), "obs_id").groupBy(*keys, "gene").agg(F.sum("value").alias("value"))
     if not mean:
         return x
     size = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

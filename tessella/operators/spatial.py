@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import finite, half_even, quantile, with_quantiles
-from tessella.sources.storage import cut
+from tessella.sources.storage import cut, many
 
 #: Coordinate columns, in the order in which they are tried.
 COORDINATES = (("x", "y"), ("array_col", "array_row"), ("imagecol", "imagerow"), ("pxl_col_in_fullres", "pxl_row_in_fullres"), ("x_centroid", "y_centroid"))
@@ -32,7 +32,7 @@ def lattice_edges(points: DataFrame, diagonal: bool = False) -> DataFrame:
     steps = [(1, 0), (0, 1)] + ([(1, 1), (1, -1)] if diagonal else [])
     step = F.explode(F.array(*[F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy")) for dx, dy in steps])).alias("s")
     want = a.select("src", "x", "y", step).select("src", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
-    return want.join(points.select(F.col("obs_id").alias("dst"), "x", "y"), ["x", "y"]).select("src", "dst", F.lit(1.0).alias("weight"))
+    return many(want).join(many(points).select(F.col("obs_id").alias("dst"), "x", "y"), ["x", "y"]).select("src", "dst", F.lit(1.0).alias("weight"))
 
 
 def reduce_resolution(points: DataFrame, scale: float) -> DataFrame:
@@ -123,7 +123,7 @@ def _near(a: DataFrame, b: DataFrame, side: Column | float) -> DataFrame:
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     left = left.withColumn("_s", around).withColumn("cx", F.col("cx") + F.col("_s.i")).withColumn("cy", F.col("cy") + F.col("_s.j")).drop("_s")
     right = b.withColumn("cx", F.floor(F.col("xb") / side)).withColumn("cy", F.floor(F.col("yb") / side))
-    return left.join(right, ["cx", "cy"]).drop("cx", "cy")
+    return many(left).join(many(right), ["cx", "cy"]).drop("cx", "cy")
 
 
 def nearest(a: DataFrame, b: DataFrame, k: int, side: float, keep_self: bool = True) -> DataFrame:
@@ -155,7 +155,7 @@ def nearest(a: DataFrame, b: DataFrame, k: int, side: float, keep_self: bool = T
         full = top.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("id")))
         found = cut(full.where(F.col("_n") >= k).drop("_n"), "nearest")
         done = found if done is None else done.unionByName(found)
-        todo = cut(todo.join(found.select("id").distinct(), "id", "left_anti"), "searching")
+        todo = cut(many(todo).join(many(found).select("id").distinct(), "id", "left_anti"), "searching")
         if todo.isEmpty():
             return done
         r *= 2

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.sources.storage import many
+
 SIDES = (2, 4, 5, 8, 10, 20)
 WIDTH = 40
 
@@ -36,7 +38,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def obs(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
-    return c.select(
+    return many(c).select(
         F.col("c_custkey").alias("obs_id"),
         (F.col("c_custkey") % WIDTH).cast("long").alias("x"),
         F.floor(F.col("c_custkey") / WIDTH).cast("long").alias("y"),
@@ -47,9 +49,9 @@ def obs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def expr(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    p = table(spark, sf, "part").select("p_partkey", "p_brand")
+    o = many(table(spark, sf, "orders")).select("o_orderkey", "o_custkey")
+    lines = many(table(spark, sf, "lineitem")).select("l_orderkey", "l_partkey", "l_quantity")
+    p = many(table(spark, sf, "part")).select("p_partkey", "p_brand")
     rows = lines.join(p, F.col("l_partkey") == F.col("p_partkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.groupBy(F.col("o_custkey").alias("obs_id"), F.col("p_brand").alias("gene")).agg(F.sum("l_quantity").alias("value"))
 

@@ -47,6 +47,11 @@ def path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def many(df: DataFrame) -> DataFrame:
+    """Rows that grow with the input, for a join: sorted and merged, never broadcast.  Spark's estimates leave out what explode adds and take compressed sizes of files."""
+    return df.hint("merge")
+
+
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Write and read back: a lost executor costs no lineage before this point."""
     to = path(df.sparkSession, name)
