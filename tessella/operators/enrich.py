@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import benjamini_hochberg, chi2_sf_even, hashed, hashed_int, normal_sf, zscore
+from tessella.sources.storage import many
 
 
 def group_sizes(obs: DataFrame, least: int | str = "auto") -> DataFrame:
@@ -20,7 +21,7 @@ def group_sizes(obs: DataFrame, least: int | str = "auto") -> DataFrame:
 def effects(expr: DataFrame, obs: DataFrame, least: int | str = "auto") -> DataFrame:
     """Gene x group: means and shares inside and outside (absent values are 0), their differences, log2 fold change."""
     sizes = group_sizes(obs, least)
-    per = expr.join(obs.select("obs_id", "celltype"), "obs_id").groupBy("gene", "celltype").agg(F.sum("value").alias("s"), F.count(F.when(F.col("value") > 0, 1)).alias("c"))
+    per = many(expr).join(many(obs).select("obs_id", "celltype"), "obs_id").groupBy("gene", "celltype").agg(F.sum("value").alias("s"), F.count(F.when(F.col("value") > 0, 1)).alias("c"))
     total = per.groupBy("gene").agg(F.sum("s").alias("s_all"), F.sum("c").alias("c_all"))
     g = total.crossJoin(F.broadcast(sizes)).join(per, ["gene", "celltype"], "left")  # genes x a few groups
     s, c = F.coalesce("s", F.lit(0.0)), F.coalesce("c", F.lit(0))
@@ -117,11 +118,12 @@ def block_permutation(values: DataFrame, n_perm: int, seed: int = 0, statistic=N
     """
     stat = statistic if statistic is not None else F.avg(F.when(F.col("label") == 1, F.col("value"))) - F.avg(F.when(F.col("label") == 0, F.col("value")))
     observed = values.agg(stat.alias("observed"))
-    p = values.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    w = W.partitionBy("perm", "block")
-    a = p.withColumn("_k", F.row_number().over(w.orderBy("obs_id"))).drop("label")
-    b = p.withColumn("_k", F.row_number().over(w.orderBy(hashed(seed, "perm", "obs_id"), "obs_id"))).select("perm", "block", "_k", "label")
-    null = a.join(b, ["perm", "block", "_k"]).groupBy("perm").agg(stat.alias("null"))
+    # a value's place in its block is the same in every permutation; only labels are shuffled
+    a = values.withColumn("_k", F.row_number().over(W.partitionBy("block").orderBy("obs_id"))).select("block", "_k", "value")
+    p = values.select("block", "obs_id", "label", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm"))
+    order = W.partitionBy("perm", "block").orderBy(hashed(seed, "perm", "obs_id"), "obs_id")
+    b = p.withColumn("_k", F.row_number().over(order)).select("perm", "block", "_k", "label")
+    null = many(b).join(many(a), ["block", "_k"]).groupBy("perm").agg(stat.alias("null"))
     x = null.crossJoin(F.broadcast(observed))
     return x.agg(F.first("observed").alias("observed"), F.avg((F.abs("null") >= F.abs("observed") - 1e-12).cast("double")).alias("pvalue"), F.try_divide(F.first("observed") - F.avg("null"), F.stddev_pop("null")).alias("z"))
 
