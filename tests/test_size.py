@@ -28,7 +28,7 @@ def _null(v, stat):
     return enrich.block_permutation(v, 3, statistic=stat)
 
 
-GROWN = ["f6_f14_tier_override", "d15_top_set_jaccard", "k11_m1_custom_statistic"]
+GROWN = ["f6_f14_tier_override", "d15_top_set_jaccard", "k11_m1_custom_statistic", "k11_block_permutation"]
 
 
 @pytest.mark.parametrize("name", GROWN)
