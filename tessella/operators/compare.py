@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import average_rank, correlation, quantile, weighted_average
+from tessella.sources.storage import many
 
 #: Metrics of a segmentation, and whether more is better.
 METRICS = {"within_var": -1, "between_var": 1, "snr": 1, "r2": 1, "detection": 1, "dynamic_range": 1, "top10_mass": 1, "neighbor_contrast": 1, "segment_moran": 1, "sizeaware_moran": 1}
@@ -18,10 +19,10 @@ def segment_metrics(expr: DataFrame, segments: DataFrame, boundaries: DataFrame,
     Segments without the gene have mean 0 there, so the dense grid is segments x genes, not entities x genes.
     """
     sizes = segments.groupBy(*by, "seg").agg(F.count(F.lit(1)).alias("n"))
-    sums = expr.join(segments, "obs_id").groupBy(*by, "seg", "gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    sums = many(expr).join(many(segments), "obs_id").groupBy(*by, "seg", "gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     genes = sums.select(*by, "gene").distinct()
     zero = F.lit(0.0)
-    x = sizes.join(F.broadcast(genes), by).join(sums, [*by, "seg", "gene"], "left").withColumn("s", F.coalesce("s", zero)).withColumn("q", F.coalesce("q", zero))
+    x = sizes.join(F.broadcast(genes), by).join(many(sums), [*by, "seg", "gene"], "left").withColumn("s", F.coalesce("s", zero)).withColumn("q", F.coalesce("q", zero))
     x = x.withColumn("mu", F.col("s") / F.col("n"))
     tot = x.groupBy(*by, "gene").agg(F.sum("n").alias("n_all"), F.sum("s").alias("s_all"), F.avg("mu").alias("flat"), F.count(F.lit(1)).alias("k"))
     x = x.join(tot, [*by, "gene"]).withColumn("grand", F.col("s_all") / F.col("n_all"))
@@ -44,7 +45,7 @@ def segment_metrics(expr: DataFrame, segments: DataFrame, boundaries: DataFrame,
     )
     a = x.select(*by, "gene", F.col("seg").alias("i"), F.col("mu").alias("ma"), F.col("n").alias("na"), "flat", "grand")
     b = x.select(*by, "gene", F.col("seg").alias("j"), F.col("mu").alias("mb"), F.col("n").alias("nb"))
-    e = boundaries.join(a, [*by, "i"]).join(b, [*by, "j", "gene"])
+    e = many(boundaries).join(many(a), [*by, "i"]).join(many(b), [*by, "j", "gene"])
     w, wn = F.col("weight"), F.col("weight") * F.sqrt(F.col("na") * F.col("nb"))
     edge = e.groupBy(*by, "gene").agg(
         F.try_divide(F.sum(w * F.abs(F.col("ma") - F.col("mb"))), F.sum(w)).alias("neighbor_contrast"),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.stats import quantile
-from tessella.sources.storage import cut
+from tessella.sources.storage import cut, many, ship
 
 
 def pack_labels(df: DataFrame, label: str = "label", by: list[str] = ()) -> DataFrame:
@@ -65,7 +70,7 @@ def neighbour_disagreement(members: DataFrame, edges: DataFrame, by: list[str])
     """Share of edges whose ends lie in different segments."""
     a = members.select(*by, F.col("obs_id").alias("src"), F.col("seg").alias("sa"))
     b = members.select(*by, F.col("obs_id").alias("dst"), F.col("seg").alias("sb"))
-    return edges.select("src", "dst").join(a, "src").join(b, ["dst", *by]).groupBy(*by).agg(F.avg((F.col("sa") != F.col("sb")).cast("double")).alias("neighbor_disagreement"))
+    return many(edges).select("src", "dst").join(many(a), "src").join(many(b), ["dst", *by]).groupBy(*by).agg(F.avg((F.col("sa") != F.col("sb")).cast("double")).alias("neighbor_disagreement"))
 
 
 def compactness_scores(m: DataFrame) -> DataFrame:
@@ -105,14 +110,27 @@ def select_compactness(scored: DataFrame, schedule: float | None, slack: float =
 def lloyd(points: DataFrame, features: list[str], centres: DataFrame, steps: int, cut_every: int = 2) -> DataFrame:
     """k-means with given centres (``seg`` and the features): nearest centre (ties: smallest seg), means, ``steps`` times.
 
-    The centres are a small table (their number is a parameter of the caller) and broadcast; points are never shuffled, only
-    partial sums by segment.
+    The centres are a small table (their number is a parameter of the caller): each step sends them to all tasks; points are
+    never shuffled, only partial sums by segment.  A point meets the centres that ``nearest_centres`` cannot exclude.
     """
+    spark = points.sparkSession
+    ship(spark)
+    plain = points.drop("seg")
+    kept = plain.columns
+    ready = plain.select(*kept, *[F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)])
+
     def assign(c: DataFrame) -> DataFrame:
-        packed = c.agg(F.sort_array(F.collect_list(F.struct("seg", *[F.col(f).cast("double").alias(f) for f in features]))).alias("_c"))
-        d = lambda m: sum(((F.col(f) - m[f]) * (F.col(f) - m[f]) for f in features), F.lit(0.0))
-        best = F.array_min(F.transform("_c", lambda m: F.struct(d(m).alias("d"), m["seg"].alias("seg"))))
-        return points.crossJoin(F.broadcast(packed)).withColumn("seg", best["seg"]).drop("_c")
+        rows = c.where(F.col("seg").isNotNull()).select("seg", *[F.col(f).cast("double").alias(f) for f in features]).orderBy("seg").toArrow()
+        segs, at = rows.column("seg").combine_chunks(), _doubles(rows.columns[1:])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                best = pa.array(nearest_centres(_doubles(b.columns[len(kept) :]), at))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], segs.take(best)], names=[*kept, "seg"])
+
+        if not len(rows):
+            return plain.withColumn("seg", F.lit(None).cast(c.schema["seg"].dataType))
+        return ready.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("seg", c.schema["seg"].dataType)]))
 
     c = centres
     for step in range(steps):
@@ -122,6 +140,44 @@ def lloyd(points: DataFrame, features: list[str], centres: DataFrame, steps: int
     return assign(c)
 
 
+def _doubles(columns: list) -> np.ndarray:
+    """Columns side by side, null as NaN."""
+    return np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.to_numpy(), float) for c in columns])
+
+
+def nearest_centres(p: np.ndarray, c: np.ndarray, most: int = 128) -> np.ndarray:
+    """The place of each point's nearest centre (rows of ``p`` and ``c``; ties: the first), exactly.
+
+    Points are halved at medians into boxes of ``most`` points.  A centre that lies farther from a box than
+    another centre from the box's far corner is nearest to none of its points; the rest are compared one by one.  Rows
+    with a missing or infinite feature are at no distance: such a centre is taken only where there is no other.
+    """
+    out = np.zeros(len(p), np.int64)
+    real = np.flatnonzero(np.isfinite(c).all(axis=1))
+    todo = [(np.flatnonzero(np.isfinite(p).all(axis=1)), real)]
+    while todo and len(real):
+        at, near = todo.pop()
+        if not len(at):
+            continue
+        lo, hi = p[at].min(axis=0), p[at].max(axis=0)
+        m = c[near]
+        least = (np.maximum(np.maximum(lo - m, m - hi), 0.0) ** 2).sum(axis=1)
+        most_ = (np.maximum(np.abs(m - lo), np.abs(m - hi)) ** 2).sum(axis=1)
+        near = near[least <= most_.min() * (1 + 1e-9)]
+        if len(at) > most and (hi > lo).any():
+            axis = int(np.argmax(hi - lo))
+            order = at[np.argsort(p[at, axis], kind="stable")]
+            todo += [(order[: len(at) // 2], near), (order[len(at) // 2 :], near)]
+            continue
+        for part in np.array_split(at, len(at) * len(near) // 4_000_000 + 1):
+            d = np.zeros((len(part), len(near)))
+            for f in range(p.shape[1]):
+                gap = p[part, f, None] - c[None, near, f]
+                d += gap * gap
+            out[part] = near[d.argmin(axis=1)]
+    return out
+
+
 def slic(points: DataFrame, values: list[str], compactness: float, side: float, steps: int = 3) -> DataFrame:
     """SLIC-like superpixels: start from the squares of a grid of the given side; a point joins the nearest centre among the squares around its own, by value distance and position distance * compactness / side."""
     here = points.withColumn("gx", F.floor(F.col("x") / side)).withColumn("gy", F.floor(F.col("y") / side))

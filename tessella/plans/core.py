@@ -64,7 +64,7 @@ SELECT d.side, d.gene, round(SUM(abs(CASE WHEN b IS NULL THEN d.x ELSE d.x - (x1
 def j1_residual_bulk(spark, sf):
     """Residuals of every gene on the log segment size."""
     seg = V.segments(spark, sf)
-    x = autocorr.bulk_at_scales(V.expr(spark, sf), seg, ["side"])
+    x = cut(autocorr.bulk_at_scales(V.expr(spark, sf), seg, ["side"]), "bulk")
     z = seg.groupBy("side", "seg").agg(F.log(1 + F.count(F.lit(1))).alias("z"))
     r = autocorr.residualise(x, z, None, ["side"])
     return r.groupBy("side", "gene").agg(F.round(F.sum(F.abs("value")), 4).alias("total"))
