@@ -1,11 +1,9 @@
 """Joins and queries at sizes that the smallest tables do not show."""
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import autocorr, compare, enrich, graph, matrix, segment, spatial
-from tessella.plans import summaries
+from tessella.operators import autocorr, enrich, graph, matrix, segment, spatial
 from tessella.plans import views as V
 
 
@@ -34,3 +32,8 @@ GROWN = ["f6_f14_tier_override", "d15_top_set_jaccard", "k11_m1_custom_statistic
 @pytest.mark.parametrize("name", GROWN)
 def test_growing_rows_are_not_broadcast(spark, sf, name):
     assert "BroadcastHashJoin" not in chosen(dict(grown(spark, sf))[name])
+
+
+def test_effects_do_not_broadcast_entities(spark, sf):
+    """k7_enrichment_by_scale_group."""
+    assert "BroadcastHashJoin [obs_id" not in chosen(enrich.effects(V.expr(spark, sf), V.obs(spark, sf)))
