@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import autocorr, enrich, graph, matrix, segment, spatial
 from tessella.plans import views as V
+from tessella.sources.storage import cut
 
 
 def chosen(df) -> str:
@@ -37,3 +38,8 @@ def test_growing_rows_are_not_broadcast(spark, sf, name):
 def test_effects_do_not_broadcast_entities(spark, sf):
     """k7_enrichment_by_scale_group."""
     assert "BroadcastHashJoin [obs_id" not in chosen(enrich.effects(V.expr(spark, sf), V.obs(spark, sf)))
+
+
+def test_effects_of_a_stored_table_do_not_broadcast_entities(spark, sf):
+    """k7_gene_sets_by_scale_group."""
+    assert "BroadcastHashJoin [obs_id" not in chosen(enrich.effects(cut(V.expr(spark, sf), "expr"), V.obs(spark, sf)))
