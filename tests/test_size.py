@@ -43,3 +43,12 @@ def test_effects_do_not_broadcast_entities(spark, sf):
 def test_effects_of_a_stored_table_do_not_broadcast_entities(spark, sf):
     """k7_gene_sets_by_scale_group."""
     assert "BroadcastHashJoin [obs_id" not in chosen(enrich.effects(cut(V.expr(spark, sf), "expr"), V.obs(spark, sf)))
+
+
+def test_moran_does_not_broadcast_segments(spark, sf):
+    """d18_scale_columns."""
+    seg = V.segments(spark, sf)
+    x = autocorr.bulk_at_scales(V.expr(spark, sf), seg, ["side"])
+    n = seg.groupBy("side").agg(F.count_distinct("seg").cast("double").alias("n"))
+    plan = chosen(autocorr.moran(x, graph.collapse(V.edges(spark, sf), seg, ["side"]), n, ["side"]))
+    assert not [r for r in plan.splitlines() if "BroadcastHashJoin" in r and ("seg" in r or "i#" in r or "j#" in r or "obs_id" in r)]
