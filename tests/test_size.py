@@ -52,3 +52,8 @@ def test_moran_does_not_broadcast_segments(spark, sf):
     n = seg.groupBy("side").agg(F.count_distinct("seg").cast("double").alias("n"))
     plan = chosen(autocorr.moran(x, graph.collapse(V.edges(spark, sf), seg, ["side"]), n, ["side"]))
     assert not [r for r in plan.splitlines() if "BroadcastHashJoin" in r and ("seg" in r or "i#" in r or "j#" in r or "obs_id" in r)]
+
+
+def test_bulk_for_residuals_does_not_broadcast_segments(spark, sf):
+    """j1_residual_bulk."""
+    assert "BroadcastHashJoin [obs_id" not in chosen(autocorr.bulk_at_scales(V.expr(spark, sf), V.segments(spark, sf), ["side"]))
