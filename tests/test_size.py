@@ -57,3 +57,10 @@ def test_moran_does_not_broadcast_segments(spark, sf):
 def test_bulk_for_residuals_does_not_broadcast_segments(spark, sf):
     """j1_residual_bulk."""
     assert "BroadcastHashJoin [obs_id" not in chosen(autocorr.bulk_at_scales(V.expr(spark, sf), V.segments(spark, sf), ["side"]))
+
+
+def test_near_points_are_not_broadcast(spark, sf):
+    """j29_voronoi_tiles."""
+    c = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"))
+    a, b = c.select("id", F.col("x").alias("xa"), F.col("x").alias("ya")), c.select(F.col("id").alias("other"), F.col("x").alias("xb"), F.col("x").alias("yb"))
+    assert "BroadcastHashJoin" not in chosen(spatial._near(a, b, 1.0))
