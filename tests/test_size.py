@@ -1,5 +1,6 @@
 """Joins and queries at sizes that the smallest tables do not show."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,16 @@ def test_near_points_are_not_broadcast(spark, sf):
     c = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"))
     a, b = c.select("id", F.col("x").alias("xa"), F.col("x").alias("ya")), c.select(F.col("id").alias("other"), F.col("x").alias("xb"), F.col("x").alias("yb"))
     assert "BroadcastHashJoin" not in chosen(spatial._near(a, b, 1.0))
+
+
+def test_lloyd_does_not_compare_every_point_with_every_centre(spark):
+    """j13_j14_lloyd: by brute force, with ties, a missing feature and a missing centre."""
+    rng = np.random.default_rng(5)
+    p = rng.integers(0, 12, (600, 2)).astype(float)
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)] + [(600, None, 1.0)], "obs_id long, x double, y double")
+    centres = points.where("obs_id % 10 = 0").select(F.col("obs_id").alias("seg"), "x", "y")
+    got = segment.lloyd(points, ["x", "y"], centres, 0)
+    assert "NestedLoop" not in chosen(got)
+    d = ((p[:, None, :] - p[None, ::10, :]) ** 2).sum(axis=2)
+    want = dict(enumerate((d.argmin(axis=1) * 10).tolist())) | {600: 0}
+    assert {r.obs_id: r.seg for r in got.collect()} == want
