@@ -67,6 +67,12 @@ def test_near_points_are_not_broadcast(spark, sf):
     assert "BroadcastHashJoin" not in chosen(spatial._near(a, b, 1.0))
 
 
+def test_disagreement_does_not_broadcast_members(spark, sf):
+    """e30_compactness_metrics."""
+    m = V.segments(spark, sf)
+    assert "BroadcastHashJoin" not in chosen(segment.neighbour_disagreement(m, V.edges(spark, sf), ["side"]))
+
+
 def test_lloyd_does_not_compare_every_point_with_every_centre(spark):
     """j13_j14_lloyd: by brute force, with ties, a missing feature and a missing centre."""
     rng = np.random.default_rng(5)
