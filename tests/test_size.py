@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import autocorr, enrich, graph, matrix, segment, spatial
+from tessella.plans import summaries
 from tessella.plans import views as V
 from tessella.sources.storage import cut
 
@@ -73,6 +74,11 @@ def test_disagreement_does_not_broadcast_members(spark, sf):
     assert "BroadcastHashJoin" not in chosen(segment.neighbour_disagreement(m, V.edges(spark, sf), ["side"]))
 
 
+def test_candidates_do_not_broadcast_members(spark, sf):
+    """f25_f26_compactness_choice."""
+    assert "BroadcastHashJoin [obs_id" not in chosen(summaries._compact(spark, sf))
+
+
 def test_lloyd_does_not_compare_every_point_with_every_centre(spark):
     """j13_j14_lloyd: by brute force, with ties, a missing feature and a missing centre."""
     rng = np.random.default_rng(5)
