@@ -96,7 +96,7 @@ def test_lloyd_does_not_compare_every_point_with_every_centre(spark):
     assert {r.obs_id: r.seg for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("name", ["b34_gain_percent", "e11_gains", "e12_gain_summary"])
+@pytest.mark.parametrize("name", ["b34_gain_percent", "e11_gains", "e12_gain_summary", "e14_tidy_summary"])
 def test_gains_on_a_tall_lattice_equal_sql(spark, sf, tmp_path, name):
     c = duckdb.connect()
     for t in TABLES:
