@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import average_rank, correlation, quantile, weighted_average
-from tessella.sources.storage import many
+from tessella.sources.storage import cut, many
 
 #: Metrics of a segmentation, and whether more is better.
 METRICS = {"within_var": -1, "between_var": 1, "snr": 1, "r2": 1, "detection": 1, "dynamic_range": 1, "top10_mass": 1, "neighbor_contrast": 1, "segment_moran": 1, "sizeaware_moran": 1}
@@ -17,17 +17,19 @@ def segment_metrics(expr: DataFrame, segments: DataFrame, boundaries: DataFrame,
     """Ten metrics per ``by, gene``; ``boundaries``: by, i < j, weight.
 
     Segments without the gene have mean 0 there, so the dense grid is segments x genes, not entities x genes.
+    The sums and the grid are stored: what follows reads them several times.
     """
     sizes = segments.groupBy(*by, "seg").agg(F.count(F.lit(1)).alias("n"))
     sums = many(expr).join(many(segments), "obs_id").groupBy(*by, "seg", "gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    sums = cut(sums, "sums")
     genes = sums.select(*by, "gene").distinct()
     zero = F.lit(0.0)
     x = sizes.join(F.broadcast(genes), by).join(many(sums), [*by, "seg", "gene"], "left").withColumn("s", F.coalesce("s", zero)).withColumn("q", F.coalesce("q", zero))
     x = x.withColumn("mu", F.col("s") / F.col("n"))
     tot = x.groupBy(*by, "gene").agg(F.sum("n").alias("n_all"), F.sum("s").alias("s_all"), F.avg("mu").alias("flat"), F.count(F.lit(1)).alias("k"))
-    x = x.join(tot, [*by, "gene"]).withColumn("grand", F.col("s_all") / F.col("n_all"))
+    x = x.join(F.broadcast(tot), [*by, "gene"]).withColumn("grand", F.col("s_all") / F.col("n_all"))
     order = W.partitionBy(*by, "gene").orderBy(F.desc("s"), "seg")
-    x = x.withColumn("place", F.row_number().over(order))
+    x = cut(x.withColumn("place", F.row_number().over(order)), "grid")
     n, mu, grand = F.col("n"), F.col("mu"), F.col("grand")
     within = F.sum(F.col("q") - 2 * mu * F.col("s") + n * mu * mu) / F.max("n_all")
     between = F.sum(n * F.pow(mu - grand, 2.0)) / F.max("n_all")

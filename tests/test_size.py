@@ -51,6 +51,11 @@ def test_effects_of_a_stored_table_do_not_broadcast_entities(spark, sf):
     assert "BroadcastHashJoin [obs_id" not in chosen(enrich.effects(cut(V.expr(spark, sf), "expr"), V.obs(spark, sf)))
 
 
+def test_effects_read_entities_once(spark, sf):
+    """k7_enrichment_by_scale_group, k7_gene_sets_by_scale_group: sums by gene and group are stored before they are read twice."""
+    assert "l_quantity" not in chosen(enrich.effects(V.expr(spark, sf), V.obs(spark, sf)))
+
+
 def test_moran_does_not_broadcast_segments(spark, sf):
     """d18_scale_columns."""
     seg = V.segments(spark, sf)
@@ -96,7 +101,17 @@ def test_lloyd_does_not_compare_every_point_with_every_centre(spark):
     assert {r.obs_id: r.seg for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("name", ["b34_gain_percent", "e11_gains", "e12_gain_summary", "e14_tidy_summary"])
+GAINS = ["b34_gain_percent", "e11_gains", "e12_gain_summary", "e14_tidy_summary"]
+
+
+@pytest.mark.parametrize("name", GAINS)
+def test_gains_compute_the_measurements_once(spark, sf, monkeypatch, name):
+    calls, expr = [], V.expr
+    monkeypatch.setattr(V, "expr", lambda *a: calls.append(a) or expr(*a))
+    assert "l_quantity" not in chosen(QUERIES[name](spark, sf)) and len(calls) == 1
+
+
+@pytest.mark.parametrize("name", GAINS)
 def test_gains_on_a_tall_lattice_equal_sql(spark, sf, tmp_path, name):
     c = duckdb.connect()
     for t in TABLES:
