@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from .common import map_rows
 
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
@@ -69,3 +76,21 @@ def ngram_vector(cp: np.ndarray, orders: int = 3) -> np.ndarray:
     total = np.sqrt(total)
     norm = float(np.linalg.norm(total))
     return total / norm if norm else total
+
+
+def squeezed(df: DataFrame, column: str) -> DataFrame:
+    """The same rows in the same order with the vectors of a column compressed, for a driver that collects them."""
+
+    def make():
+        return lambda x: [pa.array([zlib.compress(v, 1) for v in x.to_pylist()], pa.binary())]
+
+    keep = [c for c in df.columns if c != column]
+    return map_rows(df, [column], [(f"{column}_z", T.BinaryType())], make, keep=keep).withColumnRenamed(f"{column}_z", column)
+
+
+def vectors(rows: list[bytes]) -> np.ndarray:
+    """What ``squeezed`` made, as rows of one matrix."""
+    x = np.empty((len(rows), DIM), np.float32)
+    for i, v in enumerate(rows):
+        x[i] = np.frombuffer(zlib.decompress(v), np.float32)
+    return x

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_rows, ship, str_texts, text_scores
-from .features import DIM, letter_stream, ngram_vector
+from .features import DIM, letter_stream, ngram_vector, squeezed, vectors
 
 #: Well-known families by ISO 639-1 code.  A language not listed
 #: joins the family whose mean vector is nearest to its own.
@@ -39,18 +39,22 @@ UNKNOWN = "und"
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, epochs: int = 12, seed: int = 0) -> np.ndarray:
-    """Linear SVM (squared hinge loss) by dual coordinate descent; y in {-1, 1}; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+    """Linear SVM (squared hinge loss) by dual coordinate descent; y in {-1, 1}; the last weight is the bias.
+
+    Rows become doubles one at a time: the driver holds one copy of the matrix, in its own type.
+    """
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
     diagonal = 0.5 / c
-    q = (x * x).sum(axis=1) + diagonal
+    q = np.array([(v * v).sum() for v in map(np.float64, x)]) + diagonal
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1 + diagonal * alpha[i]
+            v = x[i].astype(np.float64)
+            g = y[i] * (v @ w) - 1 + diagonal * alpha[i]
             new = max(0.0, alpha[i] - g / q[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += (new - alpha[i]) * y[i] * v
                 alpha[i] = new
     return w.astype(np.float32)
 
@@ -137,10 +141,10 @@ def fit(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_c
 
         return f
 
-    got = map_rows(sample, ["text"], [("v", T.BinaryType())], make, keep=["label"]).orderBy(F.xxhash64("v"), "label").toPandas()
+    got = squeezed(map_rows(sample, ["text"], [("v", T.BinaryType())], make, keep=["label"]).orderBy(F.xxhash64("v"), "label"), "v").toPandas()
     if got.empty:
         return Model([], {})
-    x = np.frombuffer(b"".join(got.v), np.float32).reshape(-1, DIM)
+    x = vectors(list(got.v))
     some = x.any(axis=1)
     return fit_vectors(x[some], list(got.label[some])) if some.any() else Model([], {})
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_rows, ship, str_texts, text_scores
-from .features import DIM, ngram_vector, shape_stream
+from .features import DIM, ngram_vector, shape_stream, squeezed, vectors
 
 #: Names of the heuristics, in the order of their votes.
 LABELLERS = ("symbols", "odd_words", "capitals", "double_marks", "repeated_words", "variety", "bare_tokens", "no_sentence", "plain_words")
@@ -165,15 +165,15 @@ def vector(text: str, v: list[int]) -> np.ndarray:
 
 
 def train_scorer(x: np.ndarray, q: np.ndarray, epochs: int = 60, rate: float = 2.0, ridge: float = 1e-5, seed: int = 0) -> np.ndarray:
-    """Logistic regression on soft labels; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, total = np.zeros(x.shape[1], np.float32), np.full(x.shape[1], 1e-6, np.float32)
+    """Logistic regression on soft labels; the last weight is the bias.  Only a batch at a time is copied."""
+    w, total = np.zeros(x.shape[1] + 1, np.float32), np.full(x.shape[1] + 1, 1e-6, np.float32)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for i in range(0, len(x), 128):
             b = order[i : i + 128]
-            g = x[b].T @ (1 / (1 + np.exp(-np.clip(x[b] @ w, -30, 30))) - q[b]).astype(np.float32) / len(b) + ridge * w
+            r = np.hstack([x[b], np.ones((len(b), 1), np.float32)])
+            g = r.T @ (1 / (1 + np.exp(-np.clip(r @ w, -30, 30))) - q[b]).astype(np.float32) / len(b) + ridge * w
             total += g * g
             w -= rate * 0.1 * g / np.sqrt(total)
     return w
@@ -213,10 +213,10 @@ def fit(docs: DataFrame, sample: int = 3000, id_col: str = "doc_id", text_col: s
         return f
 
     rows = rows.where(u < sample / max(1, n))
-    pdf = map_rows(rows, ["text"], [("pattern", T.IntegerType()), ("v", T.BinaryType())], sampler, keep=[]).orderBy("pattern", F.xxhash64("v")).toPandas()
+    pdf = squeezed(map_rows(rows, ["text"], [("pattern", T.IntegerType()), ("v", T.BinaryType())], sampler, keep=[]).orderBy("pattern", F.xxhash64("v")), "v").toPandas()
     if pdf.empty:
         return Model(labels, np.zeros(DIM + 1, np.float32))
-    x = np.frombuffer(b"".join(pdf.v), np.float32).reshape(-1, DIM)
+    x = vectors(list(pdf.v))
     return Model(labels, train_scorer(x, labels.posterior(pdf["pattern"].to_numpy(np.int64))))
 
 

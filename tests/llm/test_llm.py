@@ -573,3 +573,27 @@ def test_scratch_tables_are_removed(spark):
     assert kept.count() == 3
     with pytest.raises(Exception, match="(?i)exist|no such"):
         spark.read.parquet(first.inputFiles()[0].rsplit("/", 1)[0] if first.inputFiles() else "/nowhere").count()
+
+
+def test_training_on_the_driver_copies_little():
+    """The pipeline's driver: beside the vectors no more than one other copy of them (there were up to five)."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x = rng.random((500, 4096), np.float32)
+    y = np.where(rng.random(500) < 0.5, 1.0, -1.0)
+    for train in (lambda: langid.train_svm(x, y, epochs=1), lambda: quality.train_scorer(x, (y > 0).astype(float), epochs=1)):
+        tracemalloc.start()
+        train()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 1.6 * x.nbytes
+
+
+def test_squeezed_vectors_keep_order_and_values(spark):
+    from tessella.llm import features
+
+    x = np.random.default_rng(4).random((300, features.DIM), np.float32)
+    df = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "k int, v binary").repartition(7).orderBy(F.desc("k"))
+    got = features.squeezed(df, "v").toPandas()
+    assert list(got.k) == list(range(299, -1, -1)) and (features.vectors(list(got.v)) == x[::-1]).all()
