@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import benjamini_hochberg, chi2_sf_even, hashed, hashed_int, normal_sf, zscore
-from tessella.sources.storage import many
+from tessella.sources.storage import cut, many
 
 
 def group_sizes(obs: DataFrame, least: int | str = "auto") -> DataFrame:
@@ -22,6 +22,7 @@ def effects(expr: DataFrame, obs: DataFrame, least: int | str = "auto") -> DataF
     """Gene x group: means and shares inside and outside (absent values are 0), their differences, log2 fold change."""
     sizes = group_sizes(obs, least)
     per = many(expr).join(many(obs).select("obs_id", "celltype"), "obs_id").groupBy("gene", "celltype").agg(F.sum("value").alias("s"), F.count(F.when(F.col("value") > 0, 1)).alias("c"))
+    per = cut(per, "sums")  # genes x groups, read twice
     total = per.groupBy("gene").agg(F.sum("s").alias("s_all"), F.sum("c").alias("c_all"))
     g = total.crossJoin(F.broadcast(sizes)).join(per, ["gene", "celltype"], "left")  # genes x a few groups
     s, c = F.coalesce("s", F.lit(0.0)), F.coalesce("c", F.lit(0))
